@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import conversations, termfreq, topn
+from loamwork.llm import conversations, leaks, lookalikes, termfreq, topn
 from loamwork.session import table, tables
 
 
@@ -65,12 +65,39 @@ WITH x AS (SELECT id, unnest([{'f': 'category', 't': category}, {'f': 'risk', 't
      m AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records > 0.2 * (SELECT count(DISTINCT id) FROM skill) THEN 'common' END AS mark FROM f)
 """
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = tables(spark, sf_dir, "documents", "eval_item")
+    return leaks.find_leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+P7_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+     ig AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(w[g:g + least(len(w), 12) - 1], ' ') AS gram
+            FROM i, unnest(range(1, len(w) - least(len(w), 12) + 2)) x(g) WHERE len(w) > 0),
+     d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+     dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[g:g + n - 1], ' ') AS gram
+            FROM d, (SELECT DISTINCT n FROM ig), unnest(range(1, greatest(1, len(w) - n + 2))) x(g))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, gram)
+"""
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_a", "b": "doc_b"})
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.canonical_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
+    "p7_found": p7_found,
+    "p9_found": p9_found,
+    "p9_texts": p9_texts,
 }
 
 SQL: dict[str, str] = {
@@ -79,4 +106,5 @@ SQL: dict[str, str] = {
     "p4_found": P4_SQL,
     "p6_found": P6_SQL + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_terms": P6_SQL + "SELECT field, term, n_rows, n_records, mark FROM m",
+    "p7_found": P7_SQL,
 }
