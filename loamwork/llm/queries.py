@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import conversations, leaks, lookalikes, termfreq, topn
+from loamwork.llm import conversations, leaks, lookalikes, mixing, termfreq, topn
 from loamwork.session import table, tables
 
 
@@ -81,6 +81,17 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, gram)
 """
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = tables(spark, sf_dir, "documents", "mix_target")
+    used, _ = mixing.mixture(mixing.token_counts(docs, "doc_id", "text", "source"), targets)
+    return used.withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = tables(spark, sf_dir, "documents", "mix_target")
+    return mixing.mixture_report(*mixing.mixture(mixing.token_counts(docs, "doc_id", "text", "source"), targets))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_a", "b": "doc_b"})
 
@@ -96,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_terms": p6_terms,
     "p7_found": p7_found,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
 }
