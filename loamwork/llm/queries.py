@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import conversations, leaks, lookalikes, mixing, termfreq, topn
+from loamwork.llm import conversations, leaks, lookalikes, mixing, nearcopies, termfreq, topn
 from loamwork.session import table, tables
 
 
@@ -49,6 +49,27 @@ SELECT s AS session_id, least(entry_id, nx) AS entry_a, greatest(entry_id, nx) A
 """
 
 
+def _skill_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skill = table(spark, sf_dir, "skill").filter(F.col("description").rlike(r"(?U)\S"))
+    return skill.select("id", nearcopies.word_set(F.col("description"), F.col("path")).alias("words"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copy_pairs(_skill_words(spark, sf_dir), "id", "words", 0.7).withColumnsRenamed({"a": "id_a", "b": "id_b"})
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copy_groups(_skill_words(spark, sf_dir), "id", "words", 0.7)
+
+
+P5_SQL = r"""
+WITH s AS (SELECT DISTINCT id, list_sort(list_distinct(regexp_extract_all(lower(description || ' ' || coalesce(path, '')), '[a-z0-9]+'))) AS w
+           FROM skill WHERE regexp_matches(description, '\S')),
+     x AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM s a JOIN s b ON a.id < b.id)
+SELECT DISTINCT id_a, id_b FROM x WHERE i >= 0.7 * (n - i)
+"""
+
+
 def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     skill = table(spark, sf_dir, "skill")
     total = skill.agg(F.count_distinct("id")).first()[0]
@@ -104,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
     "p7_found": p7_found,
@@ -117,6 +140,7 @@ SQL: dict[str, str] = {
     "p1_found": P1_SQL + "SELECT category, skill_id FROM ranked WHERE k <= 3",
     "p1_ranked": P1_SQL + "SELECT category, star_count, skill_id FROM ranked WHERE k <= 3",
     "p4_found": P4_SQL,
+    "p5_found": P5_SQL,
     "p6_found": P6_SQL + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_terms": P6_SQL + "SELECT field, term, n_rows, n_records, mark FROM m",
     "p7_found": P7_SQL,
