@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import conversations, leaks, lookalikes, mixing, nearcopies, termfreq, topn
+from loamwork.llm import conversations, leaks, lookalikes, mixing, nearcopies, subjects, termfreq, topn
 from loamwork.session import table, tables
 
 
@@ -31,6 +31,18 @@ WITH latest AS (SELECT skill_id, arg_max(star_count, struct_pack(a := synced_at,
 """
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skill, examples, areas = tables(spark, sf_dir, "skill", "subject_example", "subject_area")
+    return subjects.subject_rows(skill, "id", "description", "category", examples, areas)
+
+
+def p3_make_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills and share of all skills with a subject, by subject."""
+    rows = p3_found(spark, sf_dir)
+    total = rows.agg(F.count_distinct("id")).first()[0]
+    return rows.groupBy("subject").agg(F.count("*").alias("skills")).withColumn("share", F.col("skills") / F.lit(float(max(total, 1))))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.session_reply_pairs(table(spark, sf_dir, "session_entry"))
 
@@ -124,6 +136,8 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
+    "p3_found": p3_found,
+    "p3_make_up": p3_make_up,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
