@@ -2,10 +2,12 @@
 
 A record is its set of words. Two sets of a and b words with Jaccard similarity t or more differ in at most
 E = (1 - t) / (1 + t) * (a + b) words. A sketch holds the parity of the words that hash to each bit, so two sketches never differ in more
-bits than the sets in words: pruning a pair of trie nodes whose bits differ by more than E loses no link. The words are also dealt to
-about E / 2 blocks of 32 parity bits; some block of a similar pair differs in one bit at most, so the join starts from
-pairs of trie nodes equal or one bit apart in one block (found by deleting each set bit), spread over the cluster by
-that node, and goes on through the sketch's bits, node pair by node pair, adding up differing bits. What is left is compared exactly.
+bits than the sets in words: pruning a pair of trie nodes whose bits differ by more than E loses no link.
+
+One trie over all sketches would meet every pair near its root. So the trie is rooted: ``TABLES`` times the first levels are the
+values of ``ROOT`` MinHash functions, node pairs must agree there, and the nodes spread the join over the cluster. A pair at the
+threshold agrees in no table with chance ``MISS``, one alike by 0.8 with less than a millionth. Below the roots pairs of nodes are traversed
+together, adding up differing bits, and what is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from loamwork.llm.components import connected_components
 from loamwork.plans.durable import cut
 
-#: Size classes within one factor of 1 / threshold; more classes mean tighter budgets but more rows.
-STEPS = 2
+#: MinHash values in the root of a table, and the chance that a pair at the threshold has no table in common.
+ROOT, MISS = 7, 1e-4
 #: Node pairs expanded at once, rows of a task's group, and rows of one trie node that one task joins with itself.
 SLICE, GROUP_ROWS, TILE = 2_000_000, 150_000, 4_096
 #: One in so many sets is counted to find the nodes that must be tiled; results don't depend on it.
@@ -34,78 +36,57 @@ def word_set(*texts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit("([a-z0-9]+)"))))
 
 
-class _Levels:
-    """Size classes and their block counts for a threshold."""
-
-    def __init__(self, t: float):
-        self.t, self.beta, self.g = t, (1 - t) / (1 + t), (1 / t) ** (1 / STEPS)
-
-    def of(self, size: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(size) / math.log(self.g) + 1e-9).astype(np.int64)
+def tables_for(t: float, root: int = ROOT, miss: float = MISS) -> int:
+    """Tables needed so that a pair of similarity ``t`` is missed with chance ``miss``."""
+    return 1 if t >= 1 else math.ceil(math.log(miss) / math.log(1 - t**root))
 
-    def budget(self, level: int) -> int:
-        """Most words in which a pair can differ whose larger set is of this class."""
-        return math.floor(self.beta * 2 * (self.g ** (level + 1) + 1) + 1e-9)
 
-    def blocks(self, level: int) -> int:
-        return max(1, (self.budget(level) + 2) // 2)
+def _beta(t: float) -> float:
+    """Words in which a pair alike by ``t`` can differ, for each of their words."""
+    return (1 - t) / (1 + t)
 
 
 def _nodes(t: float, tiles: dict[int, int]):
-    """Rows (key, rid, size, flags, s0, s1): each set at its nodes and one-bit deletions. Flags: 1 full, 2 of the level's own class."""
-    levels = _Levels(t)
+    """Rows (key, tile, rid, size, s0, s1): each set with its sketch at its root node in every table."""
+    n_tables = tables_for(t)
+    rng = np.random.default_rng(7_919)
+    mult = rng.integers(1, 1 << 62, n_tables * ROOT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    add = rng.integers(0, 1 << 63, n_tables * ROOT, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.array(sorted(tiles), np.int64)
         for b in batches:
-            rid, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-            lists = b.column(2)
-            h = lists.flatten().to_numpy().astype(np.uint64)
-            doc = np.repeat(np.arange(len(rid)), size)
-            sketch = np.zeros((len(rid), 2), np.uint64)
-            bit = (h >> np.uint64(3)) & np.uint64(127)
-            np.bitwise_xor.at(sketch, (doc, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-            own = levels.of(size)
-            for c in np.unique(own):
-                mine = np.flatnonzero(own == c)
-                for level in range(c, c + STEPS + 1):
-                    n_blocks = levels.blocks(level)
-                    step = max(1, 400_000 // (n_blocks * 8))
-                    for at in range(0, len(mine), step):
-                        yield from rows_of(mine[at : at + step], level, n_blocks, level == c, rid, size, h, doc, sketch, hot)
-
-    def rows_of(mine, level, n_blocks, home, rid, size, h, doc, sketch, hot):
-        place = np.full(len(rid), -1)
-        place[mine] = np.arange(len(mine))
-        mask = place[doc] >= 0
-        d, x = place[doc[mask]], h[mask]
-        bits = np.zeros((len(mine), n_blocks), np.uint32)
-        block = ((x >> np.uint64(10)) % np.uint64(n_blocks)).astype(np.int64)
-        np.bitwise_xor.at(bits, (d, block), np.uint32(1) << ((x >> np.uint64(59)) & np.uint64(31)).astype(np.uint32))
-        base = (np.int64(level) << np.int64(52)) | (np.arange(n_blocks, dtype=np.int64)[None, :] << np.int64(32))
-        keys = [(base | bits.astype(np.int64)).ravel()]
-        who, flags = [np.repeat(mine, n_blocks)], [np.full(len(mine) * n_blocks, 1 + 2 * home, np.int8)]
-        for i in range(32):
-            r, j = np.nonzero(bits & np.uint32(1 << i))
-            keys.append(base[0, j] | (bits[r, j] ^ np.uint32(1 << i)).astype(np.int64))
-            who.append(mine[r])
-            flags.append(np.full(len(r), 2 * home, np.int8))
-        key, who, flags = np.concatenate(keys), np.concatenate(who), np.concatenate(flags)
+            for at in range(0, b.num_rows, 2_000):
+                yield from rows_of(b.slice(at, 2_000), hot)
+
+    def rows_of(b: pa.RecordBatch, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rid, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+        h = b.column(2).flatten().to_numpy().view(np.uint64)
+        sketch = np.zeros((len(rid), 2), np.uint64)
+        bit = (h >> np.uint64(3)) & np.uint64(127)
+        np.bitwise_xor.at(sketch, (np.repeat(np.arange(len(rid)), size), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        starts = np.cumsum(size) - size
+        keys = np.zeros((n_tables, len(rid)), np.uint64)
+        for i in range(n_tables):
+            key = np.full(len(rid), np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15 >> 8))
+            for k in range(i * ROOT, (i + 1) * ROOT):
+                key = (key ^ (np.minimum.reduceat(h * mult[k] + add[k], starts) >> np.uint64(8))) * np.uint64(0xD6E8FEB86659FD93)
+                key ^= key >> np.uint64(32)
+            keys[i] = key
+        key, who = keys.view(np.int64).ravel(), np.tile(np.arange(len(rid)), n_tables)
         tile = np.zeros(len(key), np.int64)
         if len(hot):
             # a crowded node is cut into tiles; a set goes to all pairs of tiles with its own
             big = np.isin(key, hot)
-            extra = [(key[~big], who[~big], flags[~big], tile[~big])]
+            extra = [(key[~big], who[~big], tile[~big])]
             for i in np.flatnonzero(big):
                 n = tiles[int(key[i])]
-                a = int(rid[who[i]]) % n
-                others = np.arange(n)
-                pair = np.minimum(a, others) * n + np.maximum(a, others)
-                extra.append((np.full(n, key[i]), np.full(n, who[i]), np.full(n, flags[i]), pair))
-            key, who, flags, tile = (np.concatenate(z) for z in zip(*extra, strict=True))
+                a, others = int(rid[who[i]]) % n, np.arange(n)
+                extra.append((np.full(n, key[i]), np.full(n, who[i]), np.minimum(a, others) * n + np.maximum(a, others)))
+            key, who, tile = (np.concatenate(z) for z in zip(*extra, strict=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(tile.astype(np.int32)), pa.array(rid[who]), pa.array(size[who].astype(np.int32)), pa.array(flags.astype(np.int8)), pa.array(sketch[who, 0].view(np.int64)), pa.array(sketch[who, 1].view(np.int64))],
-            ["key", "tile", "rid", "size", "flags", "s0", "s1"],
+            [pa.array(key), pa.array(tile.astype(np.int32)), pa.array(rid[who]), pa.array(size[who].astype(np.int32)), pa.array(sketch[who, 0].view(np.int64)), pa.array(sketch[who, 1].view(np.int64))],
+            ["key", "tile", "rid", "size", "s0", "s1"],
         )
 
     return run
@@ -125,13 +106,13 @@ def _expand(u: np.ndarray, v: np.ndarray, start: np.ndarray, end: np.ndarray, ac
 
 
 def _join(t: float):
-    levels = _Levels(t)
+    beta = _beta(t)
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_numpy() for n in ("key", "tile", "rid", "size", "flags", "s0", "s1")}
+        cols = {n: table.column(n).to_numpy() for n in ("key", "tile", "rid", "size", "s0", "s1")}
         s0, s1 = cols["s0"].view(np.uint64), cols["s1"].view(np.uint64)
         order = np.lexsort((s1, s0, cols["tile"], cols["key"]))
-        key, tile, rid, size, flags, s0, s1 = (z[order] for z in (cols["key"], cols["tile"], cols["rid"], cols["size"], cols["flags"], s0, s1))
+        key, tile, rid, size, s0, s1 = (z[order] for z in (cols["key"], cols["tile"], cols["rid"], cols["size"], s0, s1))
         low = np.uint64(0xFFFFFFFF)
         pieces = [(s0 >> np.uint64(32)).astype(np.uint32), (s0 & low).astype(np.uint32), (s1 >> np.uint64(32)).astype(np.uint32), (s1 & low).astype(np.uint32)]
         # nodes by depth: runs of rows with equal node of the block and equal sketch bits so far
@@ -149,34 +130,27 @@ def _join(t: float):
             child.append((at, np.append(at[1:], len(firsts[depth + 1]))))
             if depth < 4:
                 bits.append(pieces[depth][firsts[depth + 1]])
-        per_level = {int(x): levels.budget(int(x)) for x in np.unique(key >> np.int64(52))}
-        known = np.array(sorted(per_level))
-        most = np.array([per_level[int(x)] for x in known])
+        # the largest set below a node bounds the budget of its pairs
         for f in firsts[:-1]:
-            budget.append(most[np.searchsorted(known, key[f] >> np.int64(52))])
+            budget.append(np.floor(beta * 2 * np.maximum.reduceat(size, f).astype(float) + 1e-9) if len(f) else f)
         found: list[np.ndarray] = []
 
         def walk(depth: int, u: np.ndarray, v: np.ndarray, acc: np.ndarray) -> None:
             for x, y, a in _expand(u, v, *child[depth], acc):
                 if depth < 4:
                     a = a + np.bitwise_count(bits[depth + 1][x] ^ bits[depth + 1][y])
-                    keep = a <= budget[depth + 1][x]
+                    keep = a <= np.maximum(budget[depth + 1][x], budget[depth + 1][y])
                     if keep.any():
                         walk(depth + 1, x[keep], y[keep], a[keep])
                 else:
-                    either = flags[x] | flags[y]
-                    ok = (either & 1 > 0) & (either & 2 > 0) & (rid[x] != rid[y])
-                    ok &= a <= np.floor(levels.beta * (size[x].astype(float) + size[y]) + 1e-9)
+                    ok = rid[x] != rid[y]
+                    ok &= a <= np.floor(beta * (size[x].astype(float) + size[y]) + 1e-9)
                     ok &= np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9
                     x, y = x[ok], y[ok]
                     if len(x):
                         found.append(np.unique(np.stack([np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])], 1), axis=0))
 
-        roots = np.arange(len(firsts[0]))
-        single = child[0][1] - child[0][0] == 1
-        # a node with one sketch only can still hold several rows
-        alone = single & (np.append(firsts[0][1:], len(key)) - firsts[0] == 1)
-        roots = roots[~alone]
+        roots = np.flatnonzero(np.append(firsts[0][1:], len(key)) - firsts[0] > 1)
         if len(roots):
             walk(0, roots, roots, np.zeros(len(roots), np.int64))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -197,14 +171,14 @@ def similar_sets(df: DataFrame, ident: str, words: str, threshold: float) -> tup
     sets = cut(rows.groupBy("w").agg(F.min("id").alias("set")).withColumn("rid", F.xxhash64(F.array_join("w", " "))))
     members = rows.join(sets.select("w", "set"), "w").select("set", "id")
     source = sets.select("rid", F.size("w").alias("size"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    schema = "key bigint, tile int, rid bigint, size int, flags tinyint, s0 bigint, s1 bigint"
+    schema = "key bigint, tile int, rid bigint, size int, s0 bigint, s1 bigint"
     # crowded nodes: at most one in TILE of the rows, and never more than 20,000, so their table is bounded
     probe = source.filter(F.pmod(F.xxhash64("rid"), F.lit(PROBE)) == 0).mapInArrow(_nodes(threshold, {}), schema).groupBy("key").count().filter(F.col("count") * PROBE > 2 * TILE)
     crowded = {r["key"]: -(-r["count"] * PROBE // TILE) for r in probe.orderBy(F.desc("count")).limit(20_000).collect()}
-    n = sets.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("w")).first()
-    if not n["n"]:
+    n = sets.count()
+    if not n:
         return spark.createDataFrame([], "set_a string, set_b string, similarity double"), members
-    est = n["n"] * (STEPS + 1) * (2 + 3.6 * n["w"] / 2)
+    est = n * tables_for(threshold)
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(est / GROUP_ROWS))
     nodes = source.mapInArrow(_nodes(threshold, crowded), schema).withColumn("group", F.pmod(F.xxhash64("key", "tile"), F.lit(groups)).cast("int"))
     found = nodes.groupBy("group").applyInArrow(_join(threshold), "a bigint, b bigint")
