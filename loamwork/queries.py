@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.session import table
+from loamwork.operators import aggregates as agg
+from loamwork.operators import joins, sets
+from loamwork.session import table, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +34,217 @@ FROM events GROUP BY user_id HAVING count_if(event_type = 'error') > 10 AND coun
 def route_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = F.count_if(F.col("event_type") == "error")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(errors.alias("errors"), F.count("*").alias("total")).withColumn("rate", F.col("errors") / F.col("total")).filter("errors > 10 and rate > 0.2")
+
+
+# --- conditional aggregates and threshold rules ---------------------------------------------------
+
+
+@query("hit_rate", """
+SELECT user_id, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS total, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) / count(*) AS rate
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+""")
+def hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.rate_by(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "view")
+
+
+@query("value_share", """
+SELECT event_type, sum(CASE WHEN value > 50 THEN value ELSE 0 END) AS hits, sum(coalesce(value, 0)) AS total, round(sum(CASE WHEN value > 50 THEN value ELSE 0 END) / sum(coalesce(value, 0)), 9) AS rate
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type HAVING sum(coalesce(value, 0)) > 0
+""")
+def value_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cents = (F.col("value") * 1).cast("double")
+    return agg.share_by(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, cents).withColumn("rate", F.round("rate", 9))
+
+
+@query("error_rate", """
+SELECT user_id, count_if(event_type = 'error') AS errors, count(*) AS total, count_if(event_type = 'error') / count(*) AS error_rate
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING count_if(event_type = 'error') > 0
+""")
+def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.error_counts(table(spark, sf_dir, "events"), "user_id", F.when(F.col("event_type") == "error", "500").otherwise("200"))
+
+
+@query("share_of_total", """
+SELECT count_if(regexp_matches(event_type, '^(click|view)$')) * 1.0 AS matched, count(*) * 1.0 AS total, count_if(regexp_matches(event_type, '^(click|view)$')) / count(*) AS share FROM events
+""")
+def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.share_of_total(table(spark, sf_dir, "events").withColumn("one", F.lit(1.0)), "event_type", "one", "^(click|view)$")
+
+
+@query("duration_buckets", """
+SELECT b.bucket, count(e.value) AS n FROM (VALUES ('short'), ('medium'), ('long'), ('never')) b(bucket)
+LEFT JOIN events e ON b.bucket = CASE WHEN e.value < 25 THEN 'short' WHEN e.value < 100 THEN 'medium' WHEN e.value < 1000000 THEN 'long' ELSE 'never' END GROUP BY b.bucket
+""")
+def duration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.bucket_counts(table(spark, sf_dir, "events"), "value", [25, 100, 1_000_000], ["short", "medium", "long", "never"])
+
+
+@query("uniform_regions", """
+SELECT s_nationkey AS nation, list_sort(list_distinct(list(s_acctbal > 0))) AS values, count(DISTINCT s_acctbal > 0) = 1 AS uniform FROM supplier GROUP BY 1
+""")
+def uniform_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") > 0).alias("v"))
+    return agg.is_homogeneous(s, "nation", "v")
+
+
+@query("write_read_ratio", """
+WITH t AS (SELECT coalesce(w.user_id, r.user_id) AS user_id, coalesce(w.n, 0) AS writes, coalesce(r.n, 0) AS reads
+  FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) w FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) r ON w.user_id = r.user_id)
+SELECT user_id, writes, reads, writes / reads AS ratio FROM t WHERE writes > 10 AND reads > 0 AND writes / reads > 0.5
+""")
+def write_read_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("n", F.lit(1))
+    both = joins.outer_totals(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), "user_id", "n", ("writes", "reads"))
+    return agg.gate_ratio(both, "writes", "reads", least=10, ratio=0.5)
+
+
+@query("metric_pivot", """
+SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'view' THEN value END) AS view, max(CASE WHEN event_type = 'purchase' THEN value END) AS purchase
+FROM events GROUP BY user_id
+""")
+def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.pivot_metrics(table(spark, sf_dir, "events"), "user_id", "event_type", "value", ["click", "view", "purchase"])
+
+
+@query("slow_and_frequent", """
+SELECT user_id, quantile_cont(value, 0.75) AS p75, count(*) AS calls, CAST(floor(quantile_cont(value, 0.75) * count(*) / 1000 + 0.5) AS BIGINT) AS priority
+FROM events GROUP BY user_id HAVING quantile_cont(value, 0.75) > 20 AND count(*) >= 50
+""")
+def slow_and_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("percentile(value, 0.75)").alias("p75"), F.count("*").alias("calls"))
+    return e.filter("p75 > 20 and calls >= 50").withColumn("priority", agg.round_half_up(F.col("p75") * F.col("calls") / 1000))
+
+
+@query("metric_class", """
+SELECT event_id, CASE WHEN value <= 60 THEN 'ok' WHEN value <= 85 THEN 'warning' ELSE 'critical' END AS load, CASE WHEN value < 10 THEN 'critical' WHEN value < 15 THEN 'warning' ELSE 'ok' END AS free
+FROM events WHERE value IS NOT NULL
+""")
+def metric_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", agg.classify_metric(v, 60, 85).alias("load"), agg.classify_metric(v, critical_below=10, warning_below=15).alias("free"))
+
+
+@query("category_counts", "SELECT lower(trim(category, ' ')) AS category, count(DISTINCT id) AS skills FROM skill WHERE trim(category, ' ') <> '' GROUP BY 1")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "skill").select(F.lower(F.trim("category")).alias("category"), "id").filter("category <> ''").groupBy("category").agg(F.count_distinct("id").alias("skills"))
+
+
+@query("audit_record", """
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM skill) AS skill_rows, (SELECT count(DISTINCT id) FROM skill) AS skills, (SELECT count(*) FROM documents WHERE source IS NULL) AS without_source,
+  (SELECT count(*) FROM documents WHERE source IS NULL) <= 100000 AS within_budget
+""")
+def audit_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_if(F.col("source").isNull()).alias("without_source"))
+    s = table(spark, sf_dir, "skill").agg(F.count("*").alias("skill_rows"), F.count_distinct("id").alias("skills"))
+    one = d.withColumn("k", F.lit(1)).join(s.withColumn("k", F.lit(1)), "k").drop("k")
+    return one.withColumn("within_budget", F.col("without_source") <= 100_000).select("documents", "skill_rows", "skills", "without_source", "within_budget")
+
+
+# --- joins and sets -------------------------------------------------------------------------------
+
+
+@query("dangling_references", """
+SELECT 'document_skill' AS "check", skill_id AS ref FROM documents d WHERE skill_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM skill s WHERE s.id = d.skill_id)
+UNION ALL SELECT 'star_skill', skill_id FROM skill_star d WHERE NOT EXISTS (SELECT 1 FROM skill s WHERE s.id = d.skill_id)
+UNION ALL SELECT 'summary_session', session_id FROM session_summary d WHERE session_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM session_entry s WHERE s.session_id = d.session_id)
+""")
+def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, star, skill, summ, entry = tables(spark, sf_dir, "documents", "skill_star", "skill", "session_summary", "session_entry")
+    return joins.dangling([("document_skill", doc.filter("skill_id is not null"), "skill_id", skill, "id"), ("star_skill", star, "skill_id", skill, "id"), ("summary_session", summ.filter("session_id is not null"), "session_id", entry, "session_id")])
+
+
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = tables(spark, sf_dir, "customer", "orders")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("nations_all_positive", """
+SELECT n_nationkey, coalesce(bool_and(s_acctbal > 0), true) AS all_positive FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1
+""")
+def nations_all_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s = tables(spark, sf_dir, "nation", "supplier")
+    every = s.groupBy("s_nationkey").agg(F.bool_and(F.coalesce(F.col("s_acctbal") > 0, F.lit(False))).alias("ok"))
+    return n.join(every, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_nationkey", F.coalesce("ok", F.lit(True)).alias("all_positive"))
+
+
+@query("host_latency_defaults", """
+SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey
+""")
+def host_latency_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = tables(spark, sf_dir, "customer", "orders")
+    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return c.join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+
+
+@query("overlapping_boxes", """
+WITH b AS (SELECT p_partkey AS id, p_partkey % 40 AS page, p_retailprice % 100 AS x0, p_size * 1.0 AS y0, p_retailprice % 100 + 5 AS x1, p_size + 3.0 AS y1 FROM part)
+SELECT a.page, a.id AS a, b.id AS b FROM b a JOIN b ON a.page = b.page AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+""")
+def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    x = F.col("p_retailprice") % 100
+    return joins.overlapping_boxes(p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 40).alias("page"), x.alias("x0"), F.col("p_size").cast("double").alias("y0"), (x + 5).alias("x1"), (F.col("p_size") + 3.0).alias("y1")))
+
+
+@query("interval_overlap", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10 12:00:00' AND ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-10 06:00:00'")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    lit = lambda t: F.lit(t).cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").filter(joins.within(ts, ts + F.expr("interval 1 hour"), lit("2024-01-10 06:00:00"), lit("2024-01-10 12:00:00"))).select("event_id")
+
+
+@query("top_parts_of_top_suppliers", """
+WITH t AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10),
+     p AS (SELECT l_suppkey, l_partkey, count(*) AS lines FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM t) GROUP BY 1, 2)
+SELECT l_suppkey, l_partkey, lines, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY lines DESC, l_partkey) AS rank FROM p) WHERE rank <= 3
+""")
+def top_parts_of_top_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    top = li.groupBy("l_suppkey").count().orderBy(F.desc("count"), "l_suppkey").limit(10).select("l_suppkey")
+    parts = li.join(F.broadcast(top), "l_suppkey", "left_semi").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("lines"))
+    return joins.top_per_top(parts, "l_suppkey", [F.desc("lines"), F.col("l_partkey")], top, 3)
+
+
+@query("index_differences", """
+WITH a AS (SELECT id, max(risk) AS risk, max(source) AS source FROM skill GROUP BY 1), b AS (SELECT id, min(risk) AS risk, min(source) AS source FROM skill GROUP BY 1),
+     c AS (SELECT coalesce(a.id, b.id) AS id, unnest([{'field': 'risk', 'left_value': a.risk, 'right_value': b.risk}, {'field': 'source', 'left_value': a.source, 'right_value': b.source}]) AS c FROM a FULL OUTER JOIN b ON a.id = b.id)
+SELECT id, c.field, c.left_value, c.right_value FROM c WHERE c.left_value IS DISTINCT FROM c.right_value
+""")
+def index_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill")
+    a, b = (s.groupBy("id").agg(f("risk").alias("risk"), f("source").alias("source")) for f in (F.max, F.min))
+    return joins.index_differences(a, b, "id", ["risk", "source"])
+
+
+@query("allow_list", """
+SELECT d.doc_id, CASE WHEN m.source IS NULL THEN 'unknown' WHEN d.n_chars >= 500 THEN 'kept' ELSE 'version' END AS verdict
+FROM documents d LEFT JOIN (SELECT source FROM mix_target) m ON lower(d.source) = m.source
+""")
+def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, m = tables(spark, sf_dir, "documents", "mix_target")
+    return joins.split_by_allow_list(d.select("doc_id", F.lower("source").alias("source"), "n_chars"), m.select("source"), "source", F.col("n_chars") >= 500).select("doc_id", "verdict")
+
+
+@query("repeated_keys", """
+SELECT id, indexed_at, occurrence FROM (SELECT id, indexed_at, row_number() OVER (PARTITION BY id ORDER BY indexed_at) AS occurrence FROM skill) WHERE occurrence > 1
+""")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.repeats(table(spark, sf_dir, "skill").select("id", "indexed_at"), "id", "indexed_at")
+
+
+@query("wanted_and_available", """
+SELECT count_if(s.id IS NOT NULL) AS matched, count_if(s.id IS NULL) AS missing FROM (SELECT DISTINCT skill_id FROM skill_star) w LEFT JOIN (SELECT DISTINCT id FROM skill) s ON s.id = w.skill_id
+""")
+def wanted_and_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, s = tables(spark, sf_dir, "skill_star", "skill")
+    return sets.wanted_and_available(w.select(F.col("skill_id").alias("id")), s.select("id"), "id")
+
+
+@query("token_usage_totals", """
+SELECT session_id, CAST(sum(coalesce(token_usage['input'], 0) + coalesce(token_usage['output'], 0)) AS BIGINT) AS tokens
+FROM (SELECT DISTINCT entry_id, session_id, token_usage FROM session_entry WHERE session_id IS NOT NULL) GROUP BY 1
+""")
+def token_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "session_entry").filter("session_id is not null").dropDuplicates(["entry_id"])
+    return e.groupBy("session_id").agg(F.sum(F.coalesce(F.try_element_at("token_usage", F.lit("input")), F.lit(0)) + F.coalesce(F.try_element_at("token_usage", F.lit("output")), F.lit(0))).alias("tokens"))
