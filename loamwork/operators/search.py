@@ -21,6 +21,10 @@ def term_index(df: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def bm25(df: DataFrame, ident: str, text: str, query: list[str], k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(id, score)`` of the best texts that hold every query term, score descending, then identifier.
 
@@ -38,7 +42,7 @@ def bm25(df: DataFrame, ident: str, text: str, query: list[str], k: int | None =
     for i, t in enumerate(terms):
         n = counts[f"n{i}"]
         idf = math.log(1 + (every["n"] - n + 0.5) / (n + 0.5))
-        tf = F.size(F.filter("w", lambda x, t=t: x == t)).cast("double")
+        tf = F.size(F.filter("w", _equals(t))).cast("double")
         total = total + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.lit(float(every["avg"] or 1))))
     out = hit.select("id", total.alias("score"))
     return out.orderBy(F.desc("score"), "id").limit(k) if k else out

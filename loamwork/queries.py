@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamwork.functions import dates, text, versions
 from loamwork.operators import aggregates as agg
-from loamwork.operators import joins, sets
+from loamwork.operators import filters, joins, search, sets, windows
+from loamwork.plans.durable import shared_path
 from loamwork.session import table, tables
+from loamwork.sources import files
+from loamwork.streaming import metrics as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -248,3 +253,320 @@ FROM (SELECT DISTINCT entry_id, session_id, token_usage FROM session_entry WHERE
 def token_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "session_entry").filter("session_id is not null").dropDuplicates(["entry_id"])
     return e.groupBy("session_id").agg(F.sum(F.coalesce(F.try_element_at("token_usage", F.lit("input")), F.lit(0)) + F.coalesce(F.try_element_at("token_usage", F.lit("output")), F.lit(0))).alias("tokens"))
+
+
+# --- ordered operators and ranks ------------------------------------------------------------------
+
+
+@query("trailing_window", """
+SELECT event_id, recent, recent >= 3 AS exceeded FROM (SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events)
+""")
+def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.trailing_count(table(spark, sf_dir, "events"), "ts", 60, 3).select("event_id", "recent", "exceeded")
+
+
+@query("latest_reading", """
+SELECT skill_id, arg_max(star_count, struct_pack(a := synced_at, b := star_count)) AS star_count FROM skill_star WHERE star_count IS NOT NULL GROUP BY 1
+""")
+def latest_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = table(spark, sf_dir, "skill_star").filter("star_count is not null")
+    return windows.latest_by(star, "skill_id", F.struct("synced_at", "star_count"), ["star_count"])
+
+
+@query("last_events", """
+SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 3
+""")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.last_n(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.col("event_id")], 3).select("user_id", "event_id")
+
+
+@query("reading_gaps", """
+WITH g AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS gap FROM events)
+SELECT user_id, count(*) AS readings, CAST(round((max(t) - min(t)) * 1000) AS BIGINT) AS span_ms, CAST(floor(quantile_cont(gap, 0.5)) AS BIGINT) AS median_gap, CAST(floor(max(gap)) AS BIGINT) AS longest_gap FROM g GROUP BY 1
+""")
+def reading_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = windows.gaps(table(spark, sf_dir, "events"), "user_id", "ts")
+    return g.select("user_id", "readings", F.round(F.col("span_seconds") * 1000).cast("bigint").alias("span_ms"), F.floor("median_gap").alias("median_gap"), F.floor("longest_gap").alias("longest_gap"))
+
+
+@query("fenced_lines", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+     f AS (SELECT doc_id, n, CAST(regexp_matches(line, '^\s*(```|~~~)') AS INT) AS m FROM l),
+     p AS (SELECT doc_id, n, m, sum(m) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM f)
+SELECT doc_id, count_if(s % 2 = 1 OR m = 1) AS fenced, count(*) AS lines FROM p GROUP BY 1
+""")
+def fenced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return windows.fence_parity(lines, "doc_id", "n", "line").groupBy("doc_id").agg(F.count_if("fenced").alias("fenced"), F.count("*").alias("lines"))
+
+
+@query("top_values", "SELECT event_id, value FROM events WHERE value IS NOT NULL ORDER BY value DESC, event_id LIMIT 5")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.last_n(table(spark, sf_dir, "events").filter("value is not null"), None, [F.desc("value"), F.col("event_id")], 5).select("event_id", "value")
+
+
+@query("largest_documents", "SELECT doc_id, n_chars FROM documents WHERE n_chars >= 1000 ORDER BY n_chars DESC, doc_id LIMIT 20")
+def largest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.largest(table(spark, sf_dir, "documents"), "n_chars", 1000, 20, "doc_id").select("doc_id", "n_chars")
+
+
+@query("shallowest_path", """
+WITH p AS (SELECT category, id, len(string_split(path, '/')) AS depth FROM skill WHERE category IS NOT NULL AND path IS NOT NULL)
+SELECT category, min(depth) AS depth, arg_min(id, struct_pack(d := depth, i := id)) AS id FROM p GROUP BY 1
+""")
+def shallowest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "skill").filter("category is not null and path is not null").select("category", "id", F.size(F.split("path", "/")).alias("depth"))
+    return p.groupBy("category").agg(F.min(F.struct("depth", "id")).alias("m")).select("category", "m.depth", "m.id")
+
+
+@query("page_after_key", "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+def page_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").filter("o_orderkey > 500").orderBy("o_orderkey").limit(50).select("o_orderkey")
+
+
+# --- scalar functions -----------------------------------------------------------------------------
+
+
+@query("normalized_text", r"""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS normal FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')
+""")
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # over all texts of plain ASCII: other dialects differ in what a blank is
+    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("normal"))
+
+
+@query("name_grams", r"""
+WITH t AS (SELECT DISTINCT id, trim(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM skill WHERE name IS NOT NULL)
+SELECT id, CASE WHEN len(t) < 3 THEN 1 ELSE len(list_distinct([t[i:i + 2] FOR i IN range(1, len(t) - 1)])) END AS grams FROM t
+""")
+def name_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "skill").filter("name is not null").select("id", "name").distinct().select("id", F.size(text.char_ngrams(F.col("name"), 3)).alias("grams")).distinct()
+
+
+@query("slugs", "SELECT DISTINCT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM skill WHERE name IS NOT NULL")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "skill").filter("name is not null").select("id", text.slugify(F.col("name")).alias("slug")).distinct()
+
+
+@query("folded_names", "SELECT DISTINCT id, trim(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM skill WHERE name IS NOT NULL")
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "skill").filter("name is not null").select("id", text.fold_accents(F.col("name")).alias("folded")).distinct()
+
+
+@query("cache_keys", "SELECT doc_id, substr(sha256(coalesce(lang, '') || '|' || coalesce(source, '') || '|' || coalesce(skill_id, '')), 1, 16) AS key FROM documents")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.cache_key(F.col("lang"), F.col("source"), F.col("skill_id")).alias("key"))
+
+
+@query("short_descriptions", "SELECT DISTINCT id, CASE WHEN len(description) > 200 THEN substr(description, 1, 197) || '...' ELSE description END AS description FROM skill")
+def short_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "skill").select("id", text.short_description(F.col("description")).alias("description")).distinct()
+
+
+@query("text_mentions", r"SELECT entry_id, m FROM (SELECT DISTINCT entry_id, unnest(regexp_extract_all(content, '@([a-zA-Z0-9_./-]+)', 1)) AS m FROM session_entry WHERE content IS NOT NULL)")
+def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "session_entry").filter("content is not null").select("entry_id", F.explode(text.mentions(F.col("content"))).alias("m")).distinct()
+
+
+@query("front_matter", r"""
+SELECT doc_id, CASE WHEN text LIKE '---' || chr(10) || '%' THEN nullif(trim(regexp_extract(text, '(?s)\A---\n.*?\bname:([^\n]*)\n.*?\n?---', 1)), '') END AS name,
+  CASE WHEN text LIKE '---' || chr(10) || '%' THEN nullif(trim(regexp_extract(text, '(?s)\A---\n.*?\brisk:([^\n]*)\n---', 1)), '') END AS risk
+FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7f]*')
+""")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fm = text.front_matter(F.col("text"))
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", fm.alias("fm"))
+    return d.select("doc_id", F.nullif(F.try_element_at("fm", F.lit("name")), F.lit("")).alias("name"), F.nullif(F.try_element_at("fm", F.lit("risk")), F.lit("")).alias("risk"))
+
+
+@query("section_counts", r"SELECT doc_id, len(regexp_extract_all(text, '(?m)^## ')) AS sections FROM documents")
+def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sections(F.col("text"))).alias("sections"))
+
+
+@query("safe_ids", r"SELECT DISTINCT path, regexp_full_match(path, '[A-Za-z0-9._-]+(/[A-Za-z0-9._-]+)*') AND NOT regexp_matches(path, '(^|/)\.{1,2}(/|$)') AS safe FROM skill WHERE path IS NOT NULL")
+def safe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "skill").filter("path is not null").select("path", text.is_safe_id(F.col("path")).alias("safe")).distinct()
+
+
+@query("recency", """
+SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') AS age,
+  CASE WHEN date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') <= 0 THEN 100 WHEN date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') >= 30 THEN 0 ELSE CAST(trunc(100 * (1 - date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') / 30)) AS INT) END AS score
+FROM events
+""")
+def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", dates.age_days(F.col("ts"), F.lit("2024-01-20").cast("date")).alias("age"))
+    return e.withColumn("score", dates.recency(F.col("age")))
+
+
+@query("date_confidence", "SELECT DISTINCT session_number, CASE WHEN date BETWEEN '2025-01-01' AND '2025-12-31' THEN 'high' ELSE 'low' END AS confidence FROM session_summary")
+def date_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "session_summary").select("session_number", dates.date_confidence(F.col("date"), "2025-01-01", "2025-12-31").alias("confidence")).distinct()
+
+
+@query("parsed_dates", r"""
+SELECT DISTINCT session_number, CASE WHEN regexp_full_match(trim(date), '\d{4}-\d{2}-\d{2}') THEN epoch_us(try_cast(trim(date) AS TIMESTAMP)) WHEN regexp_full_match(trim(date), '-?\d+(\.\d+)?') THEN CAST(trim(date) AS BIGINT) * 1000000 END AS at
+FROM session_summary WHERE date IS NULL OR NOT date LIKE '%T%'
+""")
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "session_summary").filter("date is null or date not like '%T%'")
+    return s.select("session_number", F.unix_micros(dates.parse_date(F.col("date"))).alias("at")).distinct()
+
+
+@query("version_match", """
+SELECT v, r, ok FROM (VALUES ('15.2.1', '*', true), ('15.2.1', '>=15', true), ('14.9', '>=15', false), ('15.2.1', '15', true), ('15.2.1', '15.2', true), ('15.2.1', '15.3', false),
+  ('15.2.1', '<15.2', false), ('15.1.9', '<15.2', true), ('3.4.0', '2 || 3', true), ('4.0.0', '2 || 3', false), ('15.2.1', '>=15 <16', true), ('16.0.0', '>= 15 <16', false)) t(v, r, ok)
+""")
+def version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("15.2.1", "*"), ("15.2.1", ">=15"), ("14.9", ">=15"), ("15.2.1", "15"), ("15.2.1", "15.2"), ("15.2.1", "15.3"), ("15.2.1", "<15.2"), ("15.1.9", "<15.2"), ("3.4.0", "2 || 3"), ("4.0.0", "2 || 3"), ("15.2.1", ">=15 <16"), ("16.0.0", ">= 15 <16")]
+    return spark.createDataFrame(rows, "v string, r string").withColumn("ok", versions.in_range(F.col("v"), F.col("r")))
+
+
+# --- filters, rules and findings ------------------------------------------------------------------
+
+
+@query("category_filter", "SELECT id, indexed_at FROM skill WHERE CASE WHEN category = '' OR category IS NULL THEN source ELSE category END IN ('development', 'community')")
+def category_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill")
+    return filters.by_category(s, filters.effective_category(F.col("category"), F.array("source")), ["development", "community"]).select("id", "indexed_at")
+
+
+@query("touched_folders", r"SELECT DISTINCT CASE WHEN path = 'SKILL.md' THEN '.' ELSE regexp_replace(path, '/[^/]*$', '') END AS folder FROM documents WHERE path = 'SKILL.md' OR path LIKE '%/SKILL.md'")
+def touched_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.touched_folders(table(spark, sf_dir, "documents"))
+
+
+@query("manifest_failures", """
+SELECT id, indexed_at, CASE WHEN NOT coalesce(trim(description, ' ') <> '', false) THEN 'description' WHEN NOT coalesce(risk IN ('none', 'safe', 'critical', 'offensive', 'unknown'), false) THEN 'risk' WHEN date_added IS NULL THEN 'date_added' END AS failure FROM skill
+""")
+def manifest_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("description", F.trim("description") != ""), ("risk", F.col("risk").isin("none", "safe", "critical", "offensive", "unknown")), ("date_added", F.col("date_added").isNotNull())]
+    return table(spark, sf_dir, "skill").select("id", "indexed_at", filters.first_failure(rules).alias("failure"))
+
+
+@query("manifest_findings", """
+WITH f AS (SELECT id, indexed_at, unnest([CASE WHEN NOT coalesce(trim(description, ' ') <> '', false) THEN {'severity': 'error', 'rule': 'description'} END,
+  CASE WHEN NOT coalesce(trim(source, ' ') <> '', false) THEN {'severity': 'error', 'rule': 'source'} END, CASE WHEN date_added IS NULL THEN {'severity': 'advisory', 'rule': 'date_added'} END]) AS x FROM skill)
+SELECT id, indexed_at, x.severity, x.rule FROM f WHERE x IS NOT NULL
+""")
+def manifest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("error", "description", F.trim("description") != ""), ("warning", "source", F.trim("source") != ""), ("advisory", "date_added", F.col("date_added").isNotNull())]
+    return table(spark, sf_dir, "skill").select("id", "indexed_at", F.explode(filters.failures(rules, strict=True)).alias("x")).select("id", "indexed_at", "x.*")
+
+
+_TIERS = [("high", [(r"(?i)\b(?:rootkit|malware|phishing)\b", "attack"), (r"(?i)\bexploit\b", "exploit")]), ("middle", [(r"(?i)\b(?:token|credential)\b", "secret"), (r"(?i)\b(?:delete|drop|update)\b", "change")]), ("low", [(r"(?i)\b(?:review|audit|inspect)\b", "reading")])]
+
+
+@query("risk_tiers", r"""
+WITH t AS (SELECT DISTINCT id, coalesce(description, '') AS d FROM skill),
+     h AS (SELECT id, d, list_filter([CASE WHEN regexp_matches(d, '(?i)\b(?:rootkit|malware|phishing)\b') THEN 'attack' END, CASE WHEN regexp_matches(d, '(?i)\bexploit\b') THEN 'exploit' END], lambda x: x IS NOT NULL) AS a,
+       list_filter([CASE WHEN regexp_matches(d, '(?i)\b(?:token|credential)\b') THEN 'secret' END, CASE WHEN regexp_matches(d, '(?i)\b(?:delete|drop|update)\b') THEN 'change' END], lambda x: x IS NOT NULL) AS b,
+       list_filter([CASE WHEN regexp_matches(d, '(?i)\b(?:review|audit|inspect)\b') THEN 'reading' END], lambda x: x IS NOT NULL) AS c FROM t)
+SELECT id, CASE WHEN len(a) > 0 THEN 'high' WHEN len(b) > 0 THEN 'middle' WHEN len(c) > 0 THEN 'low' ELSE 'none' END AS tier,
+  array_to_string(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b WHEN len(c) > 0 THEN c ELSE [] END, ',') AS reasons FROM h
+""")
+def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill").select("id", F.coalesce("description", F.lit("")).alias("d")).distinct()
+    return s.select("id", filters.first_tier(F.col("d"), _TIERS).alias("t")).select("id", "t.tier", F.array_join("t.reasons", ",").alias("reasons"))
+
+
+@query("secret_scan", r"SELECT doc_id, len(regexp_extract_all(text, 'ghp_[A-Za-z0-9]{36}')) + len(regexp_extract_all(text, 'sk-[A-Za-z0-9]{32,}')) + len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS hits FROM documents")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", filters.secret_hits(F.col("text")).alias("hits"))
+
+
+@query("line_findings", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+     f AS (SELECT *, CAST(regexp_matches(line, '^\s*(```|~~~)') AS INT) AS m FROM l), p AS (SELECT *, sum(m) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM f),
+     o AS (SELECT * FROM p WHERE s % 2 = 0 AND m = 0)
+SELECT doc_id AS id, n AS line, 'never' AS rule FROM o WHERE regexp_matches(line, '(?i)\bnever\b') UNION ALL SELECT doc_id, n, 'list' FROM o WHERE regexp_matches(line, '^\d+\. ')
+""")
+def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.pattern_findings(table(spark, sf_dir, "documents"), "doc_id", "text", {"never": r"(?i)\bnever\b", "list": r"^\d+\. "})
+
+
+@query("matches_with_lines", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id AS id, n AS line, unnest(regexp_extract_all(line, '[A-Z][a-z]+ one ')) AS evidence FROM l
+""")
+def matches_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.matches_with_lines(table(spark, sf_dir, "documents"), "doc_id", "text", "[A-Z][a-z]+ one ")
+
+
+@query("heading_without_list", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT a.doc_id AS id, a.n AS line FROM l a WHERE regexp_matches(a.line, '^## ') AND NOT EXISTS (SELECT 1 FROM l b WHERE b.doc_id = a.doc_id AND b.n BETWEEN a.n - 2 AND a.n + 4 AND regexp_matches(b.line, '^(- |\d+\. )'))
+""")
+def heading_without_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.context_gap(table(spark, sf_dir, "documents"), "doc_id", "text", "^## ", r"^(- |\d+\. )", 2, 4)
+
+
+# --- near-duplicates and search -------------------------------------------------------------------
+
+
+@query("distinct_names", r"""
+WITH t AS (SELECT DISTINCT id, trim(regexp_replace(regexp_replace(lower(id), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM skill),
+     g AS (SELECT id, len(t) AS s, list_distinct([t[i:i + 2] FOR i IN range(1, len(t) - 1)]) AS g FROM t)
+SELECT a.id FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.id <> a.id AND (b.s > a.s OR (b.s = a.s AND b.id < a.id)) AND len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.7)
+""")
+def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill").select("id").distinct().withColumn("score", F.length("id"))
+    return sets.drop_near_duplicates(s, "id", "id", "score", 0.7).select("id")
+
+
+@query("full_text", r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), a AS (SELECT count(*) AS n, avg(len(w)) AS l FROM d),
+     q AS (SELECT unnest(['checklist', 'ledger']) AS t), n AS (SELECT t, (SELECT count(*) FROM d WHERE list_contains(w, t)) AS df FROM q),
+     s AS (SELECT id, sum(ln(1 + (a.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a.l))) AS score, count(*) AS terms
+           FROM (SELECT id, len(w) AS len, t, df, len(list_filter(w, lambda x: x = t)) AS tf FROM d, n WHERE list_contains(w, t)), a GROUP BY id)
+SELECT id, round(score, 6) AS score FROM s WHERE terms = 2 ORDER BY s.score DESC, id LIMIT 10
+""")
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["checklist", "ledger"]).withColumn("score", F.round("score", 6))
+
+
+@query("term_index", r"""
+SELECT w AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents) GROUP BY 1
+""")
+def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.term_index(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@query("nearest_vectors", """
+WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0),
+     s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity FROM q JOIN embeddings e ON e.vec_id <> q.vec_id)
+SELECT query, id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 5
+""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return search.nearest(e, "vec_id", "embedding", e.filter("vec_id % 100 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("replaced_index", """
+SELECT skill_id AS key, path AS content FROM documents WHERE skill_id NOT IN (SELECT id FROM skill WHERE risk = 'critical') UNION ALL SELECT DISTINCT id, description FROM skill WHERE risk = 'critical' AND trim(description, ' ') <> ''
+""")
+def replaced_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s = tables(spark, sf_dir, "documents", "skill")
+    old = d.filter("skill_id is not null").select(F.col("skill_id").alias("key"), F.col("path").alias("content"))
+    return search.reindex(old, s.filter("risk = 'critical'").select(F.col("id").alias("key"), F.col("description").alias("content")).distinct(), "key")
+
+
+@query("push_batches", "SELECT batch, count(*) AS n, min(o_orderkey) AS first FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 400 AS batch FROM orders) GROUP BY 1")
+def push_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.push_batches(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 400).groupBy("batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("stream_hourly", "SELECT date_trunc('hour', ts) AS start, user_id, count_if(event_type = 'error') AS hits, count(*) AS total FROM events GROUP BY 1, 2")
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    s = streams.windowed_rates(streams.event_stream(spark, sf_dir, schema), "user_id", F.col("event_type") == "error")
+    out = streams.run_once(s, "hourly_" + uuid.uuid4().hex, shared_path(spark, "stream"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "user_id", "hits", "total")
+
+
+@query("stream_sessions")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    s = streams.sessions(streams.event_stream(spark, sf_dir, schema), "user_id", "6 hours")
+    out = streams.run_once_to(s, shared_path(spark, "sessions"), shared_path(spark, "stream"))
+    return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("end"), "events")
