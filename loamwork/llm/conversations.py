@@ -44,7 +44,7 @@ def message_links(messages: DataFrame, ident: str, conversation: str | None = No
     if reply_to:
         parts.append(messages.select(m, F.col(f"`{reply_to}`").cast("long").alias("b")).dropna())
     if quotes:
-        parts.append(messages.select(m, F.explode(f"`{quotes}`").cast("long").alias("b")).dropna())
+        parts.append(messages.select(m, F.explode(F.col(f"`{quotes}`").cast("array<bigint>")).alias("b")).dropna())
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import conversations, leaks, lookalikes, mixing, nearcopies, subjects, termfreq, topn
+from loamwork.llm import conversations, leaks, lookalikes, mixing, nearcopies, pii, subjects, termfreq, topn
 from loamwork.session import table, tables
 
 
@@ -31,6 +31,24 @@ WITH latest AS (SELECT skill_id, arg_max(star_count, struct_pack(a := synced_at,
 """
 
 
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "session_summary").select("session_number", F.posexplode("key_findings").alias("position", "text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = pii.personal_kinds(table(spark, sf_dir, "session_entry"), "entry_id", "content").select(F.lit("session_entry").alias("table_name"), F.col("entry_id").alias("row_key"), "kinds")
+    found = pii.personal_kinds(_findings(spark, sf_dir), "session_number", "text").select(F.lit("session_summary").alias("table_name"), F.col("session_number").alias("row_key"), "kinds")
+    return entries.unionByName(found).select("table_name", "row_key", F.explode("kinds").alias("kind")).distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of both columns with placeholders; ``position`` is the place in ``key_findings``, 0 for ``content``."""
+    entries = pii.redacted_texts(table(spark, sf_dir, "session_entry").select("entry_id", "content").distinct(), "entry_id", "content").select(F.lit("session_entry").alias("table_name"), F.col("entry_id").alias("row_key"), F.lit(0).alias("position"), "text")
+    keyed = _findings(spark, sf_dir).distinct().select(F.struct("session_number", "position").alias("k"), "text")
+    found = pii.redacted_texts(keyed, "k", "text").select(F.lit("session_summary").alias("table_name"), F.col("k.session_number").alias("row_key"), F.col("k.position").alias("position"), "text")
+    return entries.unionByName(found)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     skill, examples, areas = tables(spark, sf_dir, "skill", "subject_example", "subject_area")
     return subjects.subject_rows(skill, "id", "description", "category", examples, areas)
@@ -136,6 +154,8 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_ranked": p1_ranked,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_make_up": p3_make_up,
     "p4_found": p4_found,
