@@ -20,12 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``: its rows survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    The rows are computed once and survive the loss of any executor, later plans see the table's true size, and
+    what has no use for a column doesn't read it.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
