@@ -22,18 +22,26 @@ BITS = 8
 WIDTH = 6
 
 
-def _digit(df: DataFrame, k: int, textual: bool):
-    """Digit ``k`` of the code as a BIGINT whose range never overflows a difference."""
+def _digit(k: int, textual: bool):
+    """Digit ``k`` of the code as a BIGINT whose range never overflows a difference; text digits start at the byte after ``skip``."""
     if k == 0:
         return F.shiftright("__score", 32)
     if k == 1:
         return F.col("__score").bitwiseAND(0xFFFFFFFF)
     if not textual:
         return -F.shiftright("__id", 32) if k == 2 else -F.col("__id").bitwiseAND(0xFFFFFFFF)
-    piece = F.expr(f"substring(encode(__id, 'UTF-8'), {(k - 2) * WIDTH + 1}, {WIDTH})")
+    piece = F.expr(f"substring(encode(__id, 'UTF-8'), skip + 1, {WIDTH})")
     value = F.conv(F.rpad(F.hex(piece), 2 * WIDTH, "0"), 16, 10).cast("long")
     # a missing byte sorts before a zero byte: the number of bytes present is the last, lowest part
-    return -(value * 8 + F.length(piece))
+    return -(value * 8 + F.octet_length(piece))
+
+
+def _with_skip(rows: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Adds ``skip``, the bytes that all identifiers of the group have in common, so that every digit divides its group."""
+    ends = rows.groupBy("__g").agg(F.hex(F.encode(F.min("__id"), "UTF-8")).alias("a"), F.hex(F.encode(F.max("__id"), "UTF-8")).alias("b"))
+    differ = F.expr("array_position(transform(sequence(1, greatest(1, least(length(a), length(b)) div 2)), i -> substr(a, 2 * i - 1, 2) <> substr(b, 2 * i - 1, 2)), true)")
+    common = F.when(differ > 0, differ - 1).otherwise(F.expr("least(length(a), length(b)) div 2")).cast("int")
+    return skew_join(rows, ends.select("__g", common.alias("skip")), "__g", hot=hot)
 
 
 def top_n_per_group(df: DataFrame, group: str, score: str, ident: str, n: int, bits: int = BITS) -> DataFrame:
@@ -62,14 +70,14 @@ def top_n_per_group(df: DataFrame, group: str, score: str, ident: str, n: int, b
     kept: list[DataFrame] = []
     k, last = 0, 4 if not textual else 1_000_000
     while n > 0 and k < last:
-        stage = rows.withColumn("__v", _digit(rows, k, textual))
+        stage = (_with_skip(rows, hot) if k >= 2 and textual else rows).withColumn("__v", _digit(k, textual)).drop("skip")
         final = _settle(stage, need, bits, hot)
         if final is None:
             break
         # need 0: settled, the rows at or above the cutoff are in; else rows equal to it tie and go on to the next digit
-        met = skew_join(stage, final, "__g", hot=hot)
+        met = cut(skew_join(stage, final, "__g", hot=hot).filter("__v >= at"))
         kept.append(met.filter((F.col("__v") > F.col("at")) | ((F.col("__v") == F.col("at")) & (F.col("need") == 0))).select("__g", "__score", "__id"))
-        rest = cut(met.filter((F.col("__v") == F.col("at")) & (F.col("need") > 0)).select("__g", "__id", "__score", "need"))
+        rest = met.filter((F.col("__v") == F.col("at")) & (F.col("need") > 0)).select("__g", "__id", "__score", "need")
         if rest.isEmpty():
             break
         need = rest.groupBy("__g").agg(F.first("need").alias("need"))
