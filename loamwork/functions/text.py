@@ -100,12 +100,12 @@ def front_matter(c: Column) -> Column:
 def sections(c: Column) -> Column:
     """Array of (heading, body) for every '## ' heading; what stands before the first is left out."""
     parts = F.split(c, r"(?m)^## ")
-    return F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body")))
+    return F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("heading"), F.regexp_replace(F.regexp_replace(p, r"\A[^\n]*\n?", ""), r"\A\s+|\s+\z", "").alias("body")))
 
 
 def clean_lines(c: Column) -> Column:
     """Without first-level headings and 'Generated by' footers."""
-    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^# |(?i)^\W*generated (by|with|on) ")), "\n")
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^# |(?i)^[\W_]*generated (by|with|on) ")), "\n")
 
 
 def escape_regex(c: Column) -> Column:

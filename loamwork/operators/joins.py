@@ -51,7 +51,7 @@ def top_per_top(df: DataFrame, key: str, order: list[Column], keys: DataFrame, k
     """The first ``k`` rows of each of ``keys`` in the given order, with their rank."""
     from pyspark.sql import Window
 
-    some = df.join(F.broadcast(keys), key, "left_semi")
+    some = df.join(keys, key, "left_semi")
     return some.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= k)
 
 

@@ -68,11 +68,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def nearest(df: DataFrame, ident: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """``(query, id, similarity)``: the ``k`` rows nearest to each vector of a stated, bounded query set, by exact cosine."""
+def nearest(df: DataFrame, ident: str, vector: str, queries: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+    """``(query, id, similarity, rank)``: the ``k`` rows nearest to each vector of a stated query set, by exact cosine.
+
+    The queries are met in blocks of about ``block``, each broadcast to all rows, so that what is broadcast doesn't grow with the data.
+    """
     from pyspark.sql import Window
 
     q = queries.select(F.col(ident).alias("query"), F.col(vector).alias("qv"))
-    pairs = df.select(F.col(ident).alias("id"), F.col(vector).alias("v")).join(F.broadcast(q), F.col("query") != F.col("id"))
-    scored = pairs.select("query", "id", cosine(F.col("qv"), F.col("v")).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)
+    blocks = max(1, -(-q.count() // block))
+    rows = df.select(F.col(ident).alias("id"), F.col(vector).alias("v"))
+    best = None
+    for i in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        scored = rows.join(F.broadcast(part), F.col("query") != F.col("id")).select("query", "id", cosine(F.col("qv"), F.col("v")).alias("similarity"))
+        best = scored if best is None else best.unionByName(scored)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)

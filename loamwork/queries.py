@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import dates, text, versions
 from loamwork.operators import aggregates as agg
-from loamwork.operators import filters, joins, search, sets, windows
+from loamwork.operators import catalogue, filters, joins, search, sets, windows
+from loamwork.operators import rewrite as rewrites
 from loamwork.plans.durable import shared_path
 from loamwork.session import table, tables
 from loamwork.sources import files
@@ -560,13 +560,86 @@ def push_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     s = streams.windowed_rates(streams.event_stream(spark, sf_dir, schema), "user_id", F.col("event_type") == "error")
-    out = streams.run_once(s, "hourly_" + uuid.uuid4().hex, shared_path(spark, "stream"))
+    out = streams.run_once(s, shared_path(spark, "hourly"), shared_path(spark, "stream"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "user_id", "hits", "total")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events FROM s GROUP BY user_id, k
+""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     s = streams.sessions(streams.event_stream(spark, sf_dir, schema), "user_id", "6 hours")
-    out = streams.run_once_to(s, shared_path(spark, "sessions"), shared_path(spark, "stream"))
+    out = streams.run_once(s, shared_path(spark, "sessions"), shared_path(spark, "stream"))
     return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("session_window.end").cast("timestamp_ntz").alias("end"), "events")
+
+
+# --- rewriting and catalogue upkeep ---------------------------------------------------------------
+
+
+@query("rewritten_descriptions", r"""
+WITH t AS (SELECT DISTINCT id, description AS d0 FROM skill), a AS (SELECT *, CASE WHEN d0 LIKE '%;%' THEN replace(d0, '; ', '. ') ELSE d0 END AS d1 FROM t), b AS (SELECT *, regexp_replace(d1, ' tasks\.$', ' work.') AS d2 FROM a)
+SELECT id, d2 AS description, array_to_string(list_filter([CASE WHEN d1 IS DISTINCT FROM d0 THEN 'sentences' END, CASE WHEN d2 IS DISTINCT FROM d1 THEN 'wording' END], lambda x: x IS NOT NULL), ',') AS trail,
+  CASE WHEN d2 IS NULL THEN 'missing' WHEN length(d2) < 100 THEN 'terse' END AS drop_reason FROM b
+""")
+def rewritten_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [("sentences", lambda c: F.contains(c, F.lit(";")), lambda c: F.replace(c, F.lit("; "), F.lit(". "))), ("wording", lambda c: F.lit(True), lambda c: F.regexp_replace(c, r" tasks\.$", " work."))]
+    drops = [("missing", F.col("description").isNull()), ("terse", F.length("description") < 100)]
+    out = rewrites.rewrite(table(spark, sf_dir, "skill").select("id", "description").distinct(), "description", steps, drops)
+    return out.withColumn("trail", F.array_join("trail", ","))
+
+
+@query("stale_names", """
+WITH a AS (SELECT id, max(name) AS t FROM skill GROUP BY 1), b AS (SELECT skill_id AS id, max(path) AS t FROM documents WHERE skill_id IS NOT NULL GROUP BY 1)
+SELECT coalesce(a.id, b.id) AS id FROM a FULL OUTER JOIN b ON a.id = b.id WHERE a.t IS DISTINCT FROM b.t OR a.id IS NULL OR b.id IS NULL
+""")
+def stale_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, d = tables(spark, sf_dir, "skill", "documents")
+    return rewrites.stale(s.groupBy("id").agg(F.max("name").alias("t")), d.filter("skill_id is not null").groupBy(F.col("skill_id").alias("id")).agg(F.max("path").alias("t")), "id", "t")
+
+
+@query("subject_topics", """
+WITH w AS (SELECT subject AS topic, subject AS category, list_filter(regexp_split_to_array(scope_note, '[ ,]+'), lambda x: x <> 'and') AS terms FROM subject_area),
+     p AS (SELECT DISTINCT id, lower(coalesce(description, '')) AS t, lower(trim(category, ' ')) AS c FROM skill), x AS (SELECT id, t, c, topic, category, lower(unnest(terms)) AS term FROM p, w)
+SELECT id, topic, CAST(max(CASE WHEN c = category THEN 12 ELSE 0 END) + sum(CASE WHEN length(term) < 3 THEN 0 WHEN contains(t, term) THEN 5 ELSE 0 END) AS INT) AS score FROM x GROUP BY id, c, t, topic
+""")
+def subject_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, a = tables(spark, sf_dir, "skill", "subject_area")
+    topics = a.select(F.col("subject").alias("topic"), F.col("subject").alias("category"), F.filter(F.split("scope_note", "[ ,]+"), lambda x: x != "and").alias("terms"))
+    items = s.select("id", F.coalesce("description", F.lit("")).alias("d"), F.lower(F.trim("category")).alias("cat")).distinct()
+    return catalogue.topic_scores(items, "id", F.col("d"), F.col("cat"), topics).withColumn("score", F.col("score").cast("int"))
+
+
+@query("first_provider", """
+WITH p AS (SELECT lower(source) AS provider, lang, min(n_chars) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2),
+     r AS (SELECT *, list_position(['official', 'community', 'self'], provider) AS k FROM p)
+SELECT lang, arg_min(provider, k) AS provider, arg_min(n, k) AS n FROM r WHERE k > 0 GROUP BY 1
+""")
+def first_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("source is not null and lang is not null").groupBy(F.lower("source").alias("provider"), "lang").agg(F.min("n_chars").alias("n"))
+    return catalogue.first_provider(d, "lang", "provider", ["official", "community", "self"], ["n"])
+
+
+@query("upserted_stars", """
+WITH old AS (SELECT skill_id, min(star_count) AS stars FROM skill_star GROUP BY 1), new AS (SELECT id AS skill_id, CAST(-1 AS BIGINT) AS stars FROM skill GROUP BY 1 HAVING max(risk) = 'critical')
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE skill_id NOT IN (SELECT skill_id FROM new)
+""")
+def upserted_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star, s = tables(spark, sf_dir, "skill_star", "skill")
+    new = s.groupBy(F.col("id").alias("skill_id")).agg(F.max("risk").alias("r")).filter("r = 'critical'").select("skill_id", F.lit(-1).cast("bigint").alias("stars"))
+    return catalogue.upsert(star.groupBy("skill_id").agg(F.min("star_count").alias("stars")), new, "skill_id")
+
+
+@query("inferred_category", """
+WITH r AS (SELECT id, max(category) AS given, max(coalesce(description, '')) AS d FROM skill GROUP BY 1), k AS (SELECT * FROM (VALUES ('exploit', 'security'), ('malware', 'security'), ('recipe', 'cooking'), ('oven', 'cooking'), ('invoice', 'finance')) v(keyword, category)),
+     h AS (SELECT id, category, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(d), '[^a-z0-9]+')) AS keyword FROM r) JOIN k USING (keyword) GROUP BY 1, 2),
+     b AS (SELECT id, arg_min(category, struct_pack(n := -n, c := category)) AS category, max(n) AS n FROM h GROUP BY 1)
+SELECT r.id, CASE WHEN coalesce(trim(given, ' ') <> '', false) THEN trim(given, ' ') ELSE coalesce(b.category, regexp_extract(r.id, '([^-/]+)$', 1)) END AS category,
+  CASE WHEN coalesce(trim(given, ' ') <> '', false) THEN 1.0 WHEN b.n IS NOT NULL THEN least(0.9, 0.4 + 0.1 * b.n) ELSE 0.1 END AS confidence FROM r LEFT JOIN b ON b.id = r.id
+""")
+def inferred_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill").groupBy("id").agg(F.max("category").alias("given"), F.max(F.coalesce("description", F.lit(""))).alias("d"))
+    k = spark.createDataFrame([("exploit", "security"), ("malware", "security"), ("recipe", "cooking"), ("oven", "cooking"), ("invoice", "finance")], "keyword string, category string")
+    return catalogue.infer_category(s, "id", F.col("given"), F.col("d"), k)

@@ -22,11 +22,15 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("events"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process everything that is there and return the result as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process everything that is there and return the complete result, which lies as a table below ``path``."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def run_once_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
