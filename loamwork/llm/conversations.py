@@ -61,6 +61,7 @@ def rebuild_conversations(messages: DataFrame, links: DataFrame, chunk: int = CH
     all others are dropped whole. Empty tables give no rows.
     """
     parts = connected_components(links, "a", "b")
+    messages = messages.select("id", "at", "who")
     # the components' table has one row a node, so this join is even however long a conversation is
     rows = messages.join(parts, messages["id"] == parts["node"], "left").select("id", "at", "who", F.coalesce("component", "id").alias("comp"))
     rows = cut(rows)

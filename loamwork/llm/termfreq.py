@@ -9,6 +9,7 @@ a spilled part above ``part_rows`` is split again by the bits after those, and D
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator, Sequence
@@ -71,11 +72,12 @@ class _Spill:
             os.remove(path)
 
 
-def _aggregate(base: str, part_rows: int, memory: str):
+def _aggregate(base: str | None, part_rows: int, memory: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        folder = os.path.join(base, f"radix-{uuid.uuid4().hex}")
+        # where the shared folder is no file system, the parts lie in the executor's own Spark folder, as its shuffle files do
+        folder = os.path.join(base or os.environ.get("SPARK_LOCAL_DIRS", ".").split(",")[0], f"radix-{uuid.uuid4().hex}")
         spill = _Spill(folder, 0, part_rows)
         try:
             for b in batches:
@@ -122,7 +124,8 @@ def term_frequencies(df: DataFrame, record: str, fields: Sequence[str], *, radix
     count = F.element_at(F.create_map(*[F.lit(v) for r, (_, c) in first.items() for v in (r, c)]), F.col("radix"))
     placed = terms.withColumn("part", start + F.pmod("g", count.cast("long")).cast("int")).repartition(min(at, 4 * tasks), "part")
     base = shared_dir(spark)
-    base = base.removeprefix("file://") if "://" not in base.removeprefix("file://") else os.environ.get("SPARK_LOCAL_DIRS", ".").split(",")[0]
+    base = re.sub("^file:/+", "/", base)
+    base = None if re.match("[a-z0-9]+:/", base) else base
     partial = placed.select("field", "term", "rec", "h", "g").mapInArrow(_aggregate(base, part_rows, memory), "field string, term string, n_rows bigint, n_records bigint")
     return partial.groupBy("field", "term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
 
