@@ -33,14 +33,14 @@ def bm25(df: DataFrame, ident: str, text: str, query: list[str], k: int | None =
     """
     terms = sorted({t.lower() for t in query if t})
     docs = df.select(F.col(ident).alias("id"), tokens(F.col(text)).alias("w")).filter("id is not null and w is not null")
-    every = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg")).first()
+    # one pass for everything the formula needs of the whole corpus
+    every = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg"), *[F.count_if(F.array_contains("w", t)).alias(f"n{i}") for i, t in enumerate(terms)]).first()
     hit = docs.filter(F.array_contains("w", terms[0])) if terms else docs.filter(F.lit(False))
     for t in terms[1:]:
         hit = hit.filter(F.array_contains("w", t))
-    counts = docs.agg(*[F.count_if(F.array_contains("w", t)).alias(f"n{i}") for i, t in enumerate(terms)]).first() if terms else None
     total = F.lit(0.0)
     for i, t in enumerate(terms):
-        n = counts[f"n{i}"]
+        n = every[f"n{i}"]
         idf = math.log(1 + (every["n"] - n + 0.5) / (n + 0.5))
         tf = F.size(F.filter("w", _equals(t))).cast("double")
         total = total + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.lit(float(every["avg"] or 1))))
