@@ -108,6 +108,16 @@ def _ascii_strings() -> tuple[str, ...]:
     return tuple(m for v in look_alike_classes().values() for m in v if m.isascii() and len(m) > 1)
 
 
+def _sign(m: str) -> str:
+    """A character that every text with the member ``m`` holds: its rarest kind, a mark before other letters than ASCII."""
+    return next((c for c in m if unicodedata.category(c)[0] == "M"), None) or next((c for c in reversed(m) if not c.isascii()), m[0])
+
+
+def _any_of(chars) -> re.Pattern | None:
+    chars = sorted(set(chars))
+    return re.compile(f"[{''.join(map(re.escape, chars))}]") if chars else None
+
+
 def _automaton(words: dict[str, str]):
     import ahocorasick
 
@@ -123,6 +133,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     singles = np.array(sorted(ord(m) for v in look_alike_classes().values() for m in v if len(m) == 1))
     strings = {m: m for v in look_alike_classes().values() for m in v if len(m) > 1 and not m.isascii()}
     find, counts, seen = _automaton(strings), np.zeros(singles[-1] + 2, np.int64), {}
+    signs = _any_of(map(_sign, strings))
 
     def points(text: str) -> None:
         for at in range(0, len(text), 1_000_000):
@@ -140,7 +151,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m in _ascii_strings():
                 if n := t.count(m):
                     seen[m] = seen.get(m, 0) + n
-            if not t.isascii():
+            if not t.isascii() and signs.search(t):
                 for _, (_, m) in find.iter(t):
                     seen[m] = seen.get(m, 0) + 1
         points("".join(held))
@@ -151,14 +162,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def representatives(df: DataFrame, text: str) -> dict[str, str]:
     """``{member: representative}`` for all members that are rewritten, from the counts of the whole corpus.
 
-    The most frequent member stands for its class; at equal counts the shorter, then an ASCII one, then the lower one.
+    The most frequent member stands for its class; at equal counts an ASCII one, then the shorter, then the lower one.
     The counts are one row a member of a class, a number fixed by the Unicode tables whatever the corpus.
     """
     rows = df.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").cast("string")).mapInArrow(_count, "member string, n bigint").groupBy("member").agg(F.sum("n").alias("n")).collect()
     n = {r["member"]: r["n"] for r in rows}
     out = {}
     for members in look_alike_classes().values():
-        best = min(members, key=lambda m: (-n.get(m, 0), len(m), not m.isascii(), m))
+        best = min(members, key=lambda m: (-n.get(m, 0), not m.isascii(), len(m), m))
         out |= {m: best for m in members if m != best or len(m) > 1}
     return out
 
@@ -168,15 +179,18 @@ class Rewriter:
 
     def __init__(self, reps: dict[str, str]):
         self.find = _automaton(reps)
-        starts = "".join(re.escape(c) for c in sorted({m[0] for m, r in reps.items() if m != r}))
-        self.any = re.compile(f"[{starts}]") if starts else None
-        self.drop = {ord(c): None for c in silent()}
+        self.any = _any_of(_sign(m) for m, r in reps.items() if m != r)
+        # one class of the basic plane is a table lookup a character; the others are looked for only where there are any
+        self.drop = _any_of(c for c in silent() if ord(c) < 0x1_0000)
+        self.far, self.drop_far = re.compile("[\U00010000-\U0010ffff]"), _any_of(c for c in silent() if ord(c) >= 0x1_0000)
         self.ascii_safe = not any(m.isascii() for m, r in reps.items() if m != r)
 
     def __call__(self, t: str) -> str:
         if t.isascii() and self.ascii_safe:
             return t
-        t = t.translate(self.drop) if not t.isascii() else t
+        t = self.drop.sub("", t)
+        if self.far.search(t):
+            t = self.drop_far.sub("", t)
         if self.any is None or not self.any.search(t):
             return t
         out, at = [], 0
