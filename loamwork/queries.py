@@ -328,11 +328,10 @@ def page_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("normalized_text", r"""
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS normal FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS normal FROM documents
 """)
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # over all texts of plain ASCII: other dialects differ in what a blank is
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("normal"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text"))).alias("normal"))
 
 
 @query("name_grams", r"""
@@ -369,13 +368,13 @@ def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("front_matter", r"""
-SELECT doc_id, CASE WHEN text LIKE '---' || chr(10) || '%' THEN nullif(trim(regexp_extract(text, '(?s)\A---\n.*?\bname:([^\n]*)\n.*?\n?---', 1)), '') END AS name,
-  CASE WHEN text LIKE '---' || chr(10) || '%' THEN nullif(trim(regexp_extract(text, '(?s)\A---\n.*?\brisk:([^\n]*)\n---', 1)), '') END AS risk
-FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7f]*')
+SELECT doc_id, CASE WHEN text LIKE '---' || chr(10) || '%' THEN nullif(trim(regexp_extract(text, '(?s)\A---\n.*?\bname:([^\n]*)\n.*?\n?---', 1), ' '), '') END AS name,
+  CASE WHEN text LIKE '---' || chr(10) || '%' THEN nullif(trim(regexp_extract(text, '(?s)\A---\n.*?\brisk:([^\n]*)\n---', 1), ' '), '') END AS risk
+FROM documents
 """)
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     fm = text.front_matter(F.col("text"))
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", fm.alias("fm"))
+    d = table(spark, sf_dir, "documents").select("doc_id", fm.alias("fm"))
     return d.select("doc_id", F.nullif(F.try_element_at("fm", F.lit("name")), F.lit("")).alias("name"), F.nullif(F.try_element_at("fm", F.lit("risk")), F.lit("")).alias("risk"))
 
 
@@ -406,10 +405,10 @@ def date_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parsed_dates", r"""
 SELECT DISTINCT session_number, CASE WHEN regexp_full_match(trim(date), '\d{4}-\d{2}-\d{2}') THEN epoch_us(try_cast(trim(date) AS TIMESTAMP)) WHEN regexp_full_match(trim(date), '-?\d+(\.\d+)?') THEN CAST(trim(date) AS BIGINT) * 1000000 END AS at
-FROM session_summary WHERE date IS NULL OR NOT date LIKE '%T%'
+FROM session_summary
 """)
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "session_summary").filter("date is null or date not like '%T%'")
+    s = table(spark, sf_dir, "session_summary")
     return s.select("session_number", F.unix_micros(dates.parse_date(F.col("date"))).alias("at")).distinct()
 
 
