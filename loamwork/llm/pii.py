@@ -1,8 +1,7 @@
 """Personal information in free text: found by a character-level BiLSTM with CRF transitions, replaced by typed placeholders.
 
-Texts are cut into overlapping windows. A window that holds no digit, no sign or spelling of an address sign and no capital
-beyond a common opening word can't hold a case as the kinds are defined, and counts as outside; the others are decoded by the model. Where windows
-overlap, each character takes the tag of the window in whose inside it lies deeper, and spans are read from the joined tags.
+Texts are cut into overlapping windows, and the model decodes every one of them; equal windows are decoded once a task. Where windows overlap, each
+character takes the tag of the window in whose inside it lies deeper, and spans are read from the joined tags.
 """
 
 from __future__ import annotations
@@ -19,16 +18,9 @@ from loamwork.llm import pii_model as M
 
 #: Characters of a window and of the overlap of neighbours; a span longer than the overlap can be cut in two, both parts are replaced.
 WINDOW, OVERLAP = 192, 72
-#: Capitalised words that open sentences; they are no name by themselves.
-OPENERS = "I A An The This That These Those Here There Next Then Done No Not Yes Two Three One It Its If In On At As And But Or So We You They He She What When Where Why How Who Use Turn Keep Help Please Thanks Note All Any Each Every To For From With Under After Before While Once Can Could Should Would Will My Our Your Is Are Was Were Be Do Does Did Signed".split()
-_SEED = re.compile(r"[\d@＠]|[([] ?at ?[)\]]|(?i:\bat\b.{1,40}\bdot\b)|(?<![^\W\d_])(?!(?:" + "|".join(OPENERS) + r")(?![^\W\d_]))[^\W\d_a-zß-öø-ÿ]", re.S)
+#: Windows whose tags a task keeps for the next time they occur.
+KEPT = 100_000
 _DIGITS = re.compile(r"\d")
-_STREET = re.compile(r"(?i)\b(?:street|road|lane|avenue|court|close|drive|square|terrace|straße|strasse|weg|calle|rua)$")
-
-
-def needs_model(window: str) -> bool:
-    """Whether a window can hold a case: it has a digit, a sign or spelling of @, or a capital or uncased letter that opens no sentence."""
-    return bool(_SEED.search(window))
 
 
 def windows(text: str) -> list[tuple[int, str]]:
@@ -59,59 +51,49 @@ def join_windows(n: int, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
 
 def _sound(kind: int, s: str) -> bool:
-    """Exact check of a span the model found: what the kind's definition demands of any case."""
+    """Exact check of a span the model found: the least that the kind's definition demands, whatever the language."""
     digits = len(_DIGITS.findall(s))
     if kind == 1:
-        return "@" in s or "＠" in s or re.search(r"(?i)\bat\b", s) is not None
-    if kind == 2:
-        return digits >= 7
-    if kind == 3:
-        return digits >= 5
-    if kind == 4:
-        return digits >= 1 and sum(c.isalpha() for c in s) >= 3
-    if _STREET.search(s):
-        return False
-    words = re.findall(r"[^\W\d_][^\W\d_'’.-]*", s)
-    return len(words) >= 2 and sum(w[0].isupper() or not w[0].islower() for w in words) >= 2
+        return re.search(r"(?i)[@＠]|(?<![^\W_])at?(?![^\W_])", s) is not None
+    if kind in (2, 3):
+        return digits >= (7 if kind == 2 else 5)
+    letters = sum(c.isalpha() for c in s)
+    return digits >= 1 and letters >= 2 if kind == 4 else digits == 0 and letters >= 2 and len(s.split()) > 1
 
 
 def spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the spans of a text, blanks at their ends left out, unsound ones dropped."""
+    kind = (tags + 1) // 2
+    # a span begins where its first tag is, or where the kind changes at a seam of windows
+    begins = np.flatnonzero((kind > 0) & ((tags % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind)))
     out = []
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        kind = int(tags[a])
-        if kind:
-            s = text[a:b]
-            lead = len(s) - len(s.lstrip())
-            start, end = int(a) + lead, int(a) + len(s.rstrip())
-            if end > start and _sound(kind, text[start:end]):
-                out.append((start, end, kind))
+    for n, a in enumerate(begins):
+        limit = begins[n + 1] if n + 1 < len(begins) else len(tags)
+        other = np.flatnonzero(kind[a:limit] != kind[a])
+        s = text[a : a + other[0] if len(other) else limit]
+        start, end = int(a) + len(s) - len(s.lstrip()), int(a) + len(s.rstrip())
+        if end > start and _sound(int(kind[a]), text[start:end]):
+            out.append((start, end, int(kind[a])))
     return out
 
 
-def find(texts: list[str | None], params: dict | None = None) -> list[list[tuple[int, int, int]]]:
-    """Spans of each text; a null text has none."""
-    p = params or M.load()
-    jobs: list[tuple[int, int, int]] = []
-    codes, seen = [], {}
-    tagged: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
-    for i, t in enumerate(texts):
-        if not t or not needs_model(t):
-            continue
-        for start, w in windows(t):
-            if not needs_model(w):
-                tagged[i].append((start, np.zeros(len(w), np.int8)))
-                continue
-            if w not in seen:
-                seen[w] = len(codes)
-                codes.append(M.encode(w))
-            jobs.append((i, start, seen[w]))
-    if codes:
-        y = M.decode(p, codes)
-        for i, start, k in jobs:
-            tagged[i].append((start, y[k]))
-    return [spans(t, join_windows(len(t), parts)) if t and any(y.any() for _, y in parts) else [] for t, parts in zip(texts, tagged, strict=True)]
+def find(texts: list[str | None], params: dict | None = None, kept: dict[str, np.ndarray | None] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Spans of each text; a null text has none. ``kept`` holds the tags of windows seen before."""
+    p, kept = params or M.load(), {} if kept is None else kept
+    cuts = [windows(t) if t else [] for t in texts]
+    new = list({w for c in cuts for _, w in c if w not in kept})
+    if len(kept) + len(new) > KEPT:
+        kept.clear()
+        new = list({w for c in cuts for _, w in c})
+    kept.update(zip(new, M.decode(p, [M.encode(w) for w in new]), strict=True))
+    out = []
+    for t, c in zip(texts, cuts, strict=True):
+        parts = [(start, kept[w], len(w)) for start, w in c]
+        if all(y is None for _, y, _ in parts):
+            out.append([])
+        else:
+            out.append(spans(t, join_windows(len(t), [(start, np.zeros(n, np.int8) if y is None else y) for start, y, n in parts])))
+    return out
 
 
 def redact(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
@@ -125,13 +107,14 @@ def redact(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _run(params: dict, redacted: bool, rows: int = 4_000):
+def _run(params: dict, redacted: bool, rows: int = 10_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray | None] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
                 texts = b.column(1).to_pylist()
-                found = find(texts, params)
+                found = find(texts, params, kept)
                 kinds = [sorted({M.KINDS[k - 1] for _, _, k in f}) for f in found]
                 if redacted:
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["__id", "text", "kinds"])

@@ -1,4 +1,8 @@
-"""Character-level bidirectional LSTM with CRF transitions, in numpy: forward pass, training and decoding."""
+"""Character-level bidirectional LSTM with CRF transitions, in numpy: forward pass, training and decoding.
+
+Arrays are [units, windows] a step, so that gates are whole rows. Gates and cells use softsign, x / (1 + |x|), which numpy computes
+several times faster than tanh; a gate is (1 + softsign) / 2.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,24 @@ from pathlib import Path
 import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: Tags: 0 outside, 1 to 5 the kinds in order.
-N_TAGS = len(KINDS) + 1
+#: Tags: 0 outside, 2k - 1 the first character of kind k (from 1), 2k any further one.
+N_TAGS = 2 * len(KINDS) + 1
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-_CLASSES = 112
+_CLASSES, _EMBED = 112, 12
+#: Score of a step that tags can't take.
+_NEVER = np.float32(-1e4)
+
+
+def _allowed() -> np.ndarray:
+    """Whether tag b may follow tag a: a span goes on only in its own kind."""
+    ok = np.ones((N_TAGS, N_TAGS), bool)
+    for inside in range(2, N_TAGS, 2):
+        ok[:, inside] = False
+        ok[inside - 1 : inside + 1, inside] = True
+    return ok
+
+
+ALLOWED = _allowed()
 
 
 @functools.cache
@@ -55,71 +73,106 @@ def encode(text: str) -> np.ndarray:
     return char_table()[np.minimum(points, 0xFFFF)]
 
 
-def _lstm(x: np.ndarray, lengths: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: bool = False):
-    """Hidden states [T, B, H] for class indices ``x`` [T, B]. Gates i, f, o are half-scaled, so one tanh serves all four."""
-    steps, batch = x.shape
-    n = wh.shape[0]
-    h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
-    out = np.empty((steps, batch, n), np.float32)
-    saved = []
-    live = batch
-    for t in range(steps):
-        while live and lengths[live - 1] <= t:  # rows are sorted by length, longest first
-            live -= 1
-        z = wx[x[t, :live]]
-        z += h[:live] @ wh
-        np.tanh(z, out=z)
-        g = z[:, 3 * n :]
-        s = z[:, : 3 * n]
-        s *= 0.5
-        s += 0.5
-        old = c[:live]
-        new = s[:, n : 2 * n] * old + s[:, :n] * g
-        tc = np.tanh(new)
-        if keep:
-            saved.append((z, old.copy(), tc, h[:live].copy(), live))
-        c[:live] = new
-        h[:live] = s[:, 2 * n : 3 * n] * tc
-        out[t] = h
-    return out, saved
-
-
-def _flip(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Each column reversed within its length (arrays [T, B, ...])."""
-    t = np.arange(x.shape[0])[:, None]
-    at = np.where(t < lengths[None, :], lengths[None, :] - 1 - t, t)
-    return x[at, np.arange(x.shape[1])[None, :]]
+def _inputs(p: dict, x: np.ndarray) -> np.ndarray:
+    """[steps, units, windows]: the embedding of each character and a constant one."""
+    out = np.ones((x.shape[0], _EMBED + 1, x.shape[1]), np.float32)
+    out[:, :_EMBED] = p["emb"][x].transpose(0, 2, 1)
+    return out
+
+
+def _live(lengths: np.ndarray, steps: int) -> np.ndarray:
+    """Windows longer than t, for t up to ``steps``; windows are sorted by length, longest first."""
+    return np.searchsorted(-lengths, -np.arange(steps + 1), "left")
+
+
+def _states(w: np.ndarray, inputs: np.ndarray, live: np.ndarray, back: bool, out: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """Fills ``out`` with the hidden states [steps, units, windows]; ``back`` runs from each window's end. What a window's states are beyond its end has no meaning."""
+    steps, wide, batch = inputs.shape
+    n = w.shape[0] // 4
+    hx, c = np.zeros((n + wide, batch), np.float32), np.zeros((n, batch), np.float32)
+    z, a, s = np.empty((4 * n, batch), np.float32), np.empty((4 * n, batch), np.float32), np.empty((n, batch), np.float32)
+    for t in range(steps - 1, -1, -1) if back else range(steps):
+        if back and live[t + 1] < batch:
+            hx[:n, live[t + 1] :] = 0
+            c[:, live[t + 1] :] = 0
+        hx[n:] = inputs[t]
+        np.matmul(w, hx, out=z)
+        np.abs(z, out=a)
+        a += 1
+        z /= a
+        if keep is not None:
+            saved = (hx.copy(), z.copy(), a.copy(), c.copy())
+        gates = z[: 3 * n]  # input, forget, output; each is doubled
+        gates += 1
+        c *= z[n : 2 * n]
+        np.multiply(z[:n], z[3 * n :], out=s)
+        c += s
+        c *= 0.5
+        np.abs(c, out=s)
+        s += 1
+        np.divide(c, s, out=s)
+        np.multiply(z[2 * n : 3 * n], s, out=out[t])
+        out[t] *= 0.5
+        hx[:n] = out[t]
+        if keep is not None:
+            keep.append((t, *saved, c.copy(), s.copy()))
+    return out
 
 
 def emissions(p: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    f, _ = _lstm(x, lengths, p["fx"], p["fh"])
-    b, _ = _lstm(_flip(x, lengths), lengths, p["bx"], p["bh"])
-    b = _flip(b, lengths)
-    return f @ p["of"] + b @ p["ob"] + p["o"]
+    """Scores [steps, tags, windows] of class indices ``x`` [steps, windows]."""
+    inputs, live, n = _inputs(p, x), _live(lengths, len(x)), p["of"].shape[1]
+    both = np.empty((len(x), 2 * n + 1, x.shape[1]), np.float32)
+    _states(p["f"], inputs, live, False, both[:, :n])
+    _states(p["b"], inputs, live, True, both[:, n : 2 * n])
+    both[:, 2 * n] = 1
+    return np.matmul(np.concatenate([p["of"], p["ob"], p["o"][:, None]], 1), both)
+
+
+def transitions(p: dict) -> np.ndarray:
+    return np.where(ALLOWED, p["trans"], _NEVER).astype(np.float32)
+
+
+def _first(e: np.ndarray) -> np.ndarray:
+    """Scores of the first character: no span goes on there."""
+    out = e[0].copy()
+    out[2::2] += _NEVER
+    return out
 
 
 def viterbi(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best tags [T, B] of emissions [T, B, K] under the transitions."""
-    steps, batch, k = e.shape
-    score, back = e[0].copy(), np.zeros((steps, batch, k), np.int8)
+    """Best tags [steps, windows] of emissions [steps, tags, windows] under the transitions."""
+    steps, k, batch = e.shape
+    score = np.empty_like(e)
+    score[0] = _first(e)
+    tags_in, opens = np.arange(2, k, 2), trans[1:, 1::2, None]
+    on, more, close = trans[tags_in - 1, tags_in][:, None], trans[tags_in, tags_in][:, None], trans[1:, 0, None]
+    m = np.empty((k - 1, k // 2, batch), np.float32)
     for t in range(1, steps):
-        m = score[:, :, None] + trans[None]
-        best = m.argmax(1)
-        new = np.take_along_axis(m, best[:, None, :], 1)[:, 0] + e[t]
-        on = (t < lengths)[:, None]
-        score = np.where(on, new, score)
-        back[t] = np.where(on, best, np.arange(k)[None])
+        old, new = score[t - 1], score[t]
+        # a span goes on from its own kind only, it opens from any tag, and any tag can end
+        np.maximum(old[1::2] + on, old[2::2] + more, out=new[2::2])
+        np.add(old[1:, None, :], opens, out=m)
+        np.maximum(m.max(0), old[0] + trans[0, 1::2, None], out=new[1::2])
+        np.maximum(old[0] + trans[0, 0], (old[1:] + close).max(0), out=new[0])
+        new += e[t]
     tags = np.zeros((steps, batch), np.int8)
-    tags[-1] = score.argmax(1)
-    rows = np.arange(batch)
-    for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t, rows, tags[t]]
+    now = np.zeros(batch, np.int64)
+    for t in range(steps - 1, -1, -1):
+        last = t == lengths - 1
+        if t < steps - 1:  # the step before the one just tagged
+            now = (score[t] + trans[:, now]).argmax(0)
+        if last.any():
+            now = np.where(last, score[t].argmax(0), now)
+        tags[t] = now
+        tags[t, t >= lengths] = 0
     return tags
 
 
-def decode(p: dict, windows: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
-    """Tags of each window; windows are decoded in batches of similar length."""
-    out: list[np.ndarray] = [None] * len(windows)
+def decode(p: dict, windows: list[np.ndarray], batch: int = 512) -> list[np.ndarray | None]:
+    """Tags of each window, or None where all are outside; windows are decoded in batches of similar length."""
+    out: list[np.ndarray | None] = [None] * len(windows)
+    trans = transitions(p)
     order = sorted(range(len(windows)), key=lambda i: -len(windows[i]))
     for at in range(0, len(order), batch):
         some = order[at : at + batch]
@@ -127,124 +180,163 @@ def decode(p: dict, windows: list[np.ndarray], batch: int = 512) -> list[np.ndar
         x = np.zeros((lengths[0], len(some)), np.int16)
         for j, i in enumerate(some):
             x[: lengths[j], j] = windows[i]
-        tags = viterbi(emissions(p, x, lengths), lengths, p["trans"])
-        for j, i in enumerate(some):
-            out[i] = tags[: lengths[j], j]
+        tags = viterbi(emissions(p, x, lengths), lengths, trans)
+        for j in np.flatnonzero(tags.any(0)):
+            out[some[j]] = tags[: lengths[j], j].copy()
     return out
 
 
 def new_params(hidden: int, seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    p = {}
+    f32 = lambda a: np.asarray(a, np.float32)
+    p = {"emb": f32(rng.normal(size=(_CLASSES, _EMBED)) * 0.7)}
     for d in "fb":
-        p[d + "x"] = (rng.normal(size=(_CLASSES, 4 * hidden)) * 0.3).astype(np.float32)
-        p[d + "x"][:, hidden : 2 * hidden] += 0.7  # remember at first
-        p[d + "h"] = (rng.normal(size=(hidden, 4 * hidden)) / np.sqrt(hidden)).astype(np.float32)
-        p["o" + d] = (rng.normal(size=(hidden, N_TAGS)) / np.sqrt(hidden)).astype(np.float32)
+        w = rng.normal(size=(4 * hidden, hidden + _EMBED + 1)) / np.sqrt(hidden / 2)
+        w[:, -1] = 0
+        w[hidden : 2 * hidden, -1] = 1.5  # remember at first
+        p[d] = f32(w)
+        p["o" + d] = f32(rng.normal(size=(N_TAGS, hidden)) / np.sqrt(hidden))
     p["o"] = np.zeros(N_TAGS, np.float32)
-    p["trans"] = (np.eye(N_TAGS) * 1.0).astype(np.float32)
+    p["trans"] = np.zeros((N_TAGS, N_TAGS), np.float32)
     return p
 
 
 def _crf(e: np.ndarray, lengths: np.ndarray, y: np.ndarray, trans: np.ndarray):
-    """Negative log likelihood a character, and its gradients by emissions and transitions."""
-    steps, batch, k = e.shape
-    on = (np.arange(steps)[:, None] < lengths[None]).astype(np.float32)
-    lse = lambda m, ax: (mx := m.max(ax)) + np.log(np.exp(m - np.expand_dims(mx, ax)).sum(ax))
-    alpha = np.zeros_like(e)
-    alpha[0] = e[0]
-    for t in range(1, steps):
-        a = lse(alpha[t - 1][:, :, None] + trans[None], 1) + e[t]
-        alpha[t] = np.where(on[t][:, None] > 0, a, alpha[t - 1])
-    beta = np.zeros_like(e)
-    for t in range(steps - 2, -1, -1):
-        b = lse(trans[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        beta[t] = np.where(on[t + 1][:, None] > 0, b, 0)
-    z = lse(alpha[-1], 1)
-    post = np.exp(alpha + beta - z[None, :, None]) * on[:, :, None]
-    rows = np.arange(batch)
-    ge = post
-    gt = np.zeros_like(trans)
-    gold = 0.0
+    """Negative log likelihood a character and its gradients, by forward and backward sums scaled at each step."""
+    steps, k, batch = e.shape
+    rows, a = np.arange(batch), np.exp(trans.astype(e.dtype))
+    first = e.copy()
+    first[0] = _first(e)
+    top = first.max(1, keepdims=True)
+    q = np.exp(first - top)
+    alpha, scale = np.zeros_like(e), np.ones((steps, batch), e.dtype)
     for t in range(steps):
-        m = on[t] > 0
-        gold += e[t, rows[m], y[t, m]].sum()
-        ge[t, rows[m], y[t, m]] -= 1
-        if t:
-            pair = np.exp(alpha[t - 1][m][:, :, None] + trans[None] + (e[t] + beta[t])[m][:, None, :] - z[m][:, None, None])
-            gt += pair.sum(0)
-            gold += trans[y[t - 1, m], y[t, m]].sum()
-            np.add.at(gt, (y[t - 1, m], y[t, m]), -1)
+        on = t < lengths
+        v = q[t] if t == 0 else (a.T @ alpha[t - 1]) * q[t]
+        scale[t] = np.where(on, v.sum(0), 1)
+        alpha[t] = np.where(on, v / scale[t], alpha[t - 1] if t else 0)
+    beta = np.ones_like(e)
+    for t in range(steps - 2, -1, -1):
+        b = a @ (q[t + 1] * beta[t + 1] / scale[t + 1])
+        beta[t] = np.where(t + 1 < lengths, b, 1)
+    inside = np.arange(steps)[:, None] < lengths[None]
+    z = (np.log(scale) + top[:, 0] * inside).sum()
+    ge = alpha * beta * inside[:, None]
+    at, col = np.nonzero(inside)
+    gold = first[at, y[at, col], col].sum()
+    ge[at, y[at, col], col] -= 1
+    right = q[1:] * beta[1:] / scale[1:, None] * inside[1:, None]
+    gt = a * np.einsum("tib,tjb->ij", alpha[:-1], right, optimize=True)
+    at, col = np.nonzero(inside[1:])
+    steps_taken = np.bincount(y[at, col].astype(np.int64) * k + y[at + 1, col], minlength=k * k).reshape(k, k)
+    gold += (trans * steps_taken).sum()
     n = lengths.sum()
-    return (z.sum() - gold) / n, ge / n, gt / n
+    return (z - gold) / n, ge / n, np.where(ALLOWED, gt - steps_taken, 0) / n
+
+
+def _states_back(w: np.ndarray, saved: list, gh_out: np.ndarray, live: np.ndarray, back: bool):
+    """Gradients by the weights and by the inputs, from those by the hidden states."""
+    n, batch = w.shape[0] // 4, gh_out.shape[2]
+    gz, wh = np.empty((len(saved), 4 * n, batch), w.dtype), np.ascontiguousarray(w[:, :n].T)
+    gh, gc = np.zeros((n, batch), w.dtype), np.zeros((n, batch), w.dtype)
+    for t, _, z, a, old, c, s in reversed(saved):
+        half = (1 + z[: 3 * n]) / 2
+        i, f, o = half[:n], half[n : 2 * n], half[2 * n :]
+        dh = gh_out[t] + gh
+        dc = gc + dh * o / (1 + np.abs(c)) ** 2
+        dz = gz[t]
+        np.multiply(dc, z[3 * n :] / 2, out=dz[:n])
+        np.multiply(dc, old / 2, out=dz[n : 2 * n])
+        np.multiply(dh, s / 2, out=dz[2 * n : 3 * n])
+        np.multiply(dc, i, out=dz[3 * n :])
+        dz /= a
+        dz /= a
+        gh, gc = wh @ dz, dc * f
+        if back and live[t + 1] < batch:
+            gh[:, live[t + 1] :] = 0
+            gc[:, live[t + 1] :] = 0
+    hx = np.empty((len(saved), w.shape[1], batch), w.dtype)
+    for t, h, *_ in saved:
+        hx[t] = h
+    gw = np.einsum("tib,tjb->ij", gz, hx, optimize=True)
+    return gw, np.matmul(w[:, n:].T, gz)
+
 
+def loss_and_grad(p: dict, x: np.ndarray, lengths: np.ndarray, y: np.ndarray):
+    inputs, live, sf, sb = _inputs(p, x).astype(p["f"].dtype), _live(lengths, len(x)), [], []
+    f, b = (np.empty((len(x), p["of"].shape[1], x.shape[1]), np.float32) for _ in range(2))
+    _states(p["f"], inputs, live, False, f, sf)
+    _states(p["b"], inputs, live, True, b, sb)
+    e = np.matmul(p["of"], f) + np.matmul(p["ob"], b) + p["o"][None, :, None]
+    loss, ge, gt = _crf(e.astype(np.float64), lengths, y, transitions(p))
+    ge = ge.astype(p["f"].dtype)
+    g = {"trans": gt.astype(p["f"].dtype), "o": ge.sum((0, 2)), "of": np.einsum("tkb,thb->kh", ge, f, optimize=True), "ob": np.einsum("tkb,thb->kh", ge, b, optimize=True)}
+    g["f"], xf = _states_back(p["f"], sf, np.matmul(p["of"].T, ge), live, False)
+    g["b"], xb = _states_back(p["b"], sb, np.matmul(p["ob"].T, ge), live, True)
+    flat, at = (xf + xb)[:, :_EMBED].transpose(1, 0, 2).reshape(_EMBED, -1), x.ravel()
+    g["emb"] = np.stack([np.bincount(at, row, _CLASSES) for row in flat], 1).astype(p["f"].dtype)
+    return loss, g
 
-def _lstm_back(x: np.ndarray, saved: list, gh_out: np.ndarray, wh: np.ndarray):
-    n = wh.shape[0]
-    gwx, gwh = np.zeros((_CLASSES, 4 * n), np.float32), np.zeros_like(wh)
-    gh, gc = np.zeros(gh_out.shape[1:], np.float32), np.zeros(gh_out.shape[1:], np.float32)
-    for t in range(len(saved) - 1, -1, -1):
-        z, old, tc, hp, live = saved[t]
-        i, f, o, g = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
-        dh = gh_out[t, :live] + gh[:live]
-        dc = gc[:live] + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i) * 2, dc * old * f * (1 - f) * 2, dh * tc * o * (1 - o) * 2, dc * i * (1 - g * g)], 1)
-        np.add.at(gwx, x[t, :live], dz) if live < 8 else gwx.__iadd__(_scatter(x[t, :live], dz))
-        gwh += hp.T @ dz
-        gh[:live] = dz @ wh.T
-        gc[:live] = dc * f
-    return gwx, gwh
 
+def _batch(codes: list[np.ndarray], labels: list[np.ndarray], some: list[int]):
+    some = sorted(some, key=lambda i: -len(codes[i]))
+    lengths = np.array([len(codes[i]) for i in some])
+    x, y = np.zeros((lengths[0], len(some)), np.int16), np.zeros((lengths[0], len(some)), np.int8)
+    for j, i in enumerate(some):
+        x[: lengths[j], j], y[: lengths[j], j] = codes[i], labels[i]
+    return x, lengths, y
 
-def _scatter(idx: np.ndarray, dz: np.ndarray) -> np.ndarray:
-    one = np.zeros((_CLASSES, len(idx)), np.float32)
-    one[idx, np.arange(len(idx))] = 1
-    return one @ dz
 
+def _worker(pipe, codes, labels) -> None:
+    while (job := pipe.recv()) is not None:
+        p, some = job
+        pipe.send(loss_and_grad(p, *_batch(codes, labels, some)))
 
-def loss_and_grad(p: dict, x: np.ndarray, lengths: np.ndarray, y: np.ndarray):
-    f, sf = _lstm(x, lengths, p["fx"], p["fh"], keep=True)
-    xb = _flip(x, lengths)
-    b0, sb = _lstm(xb, lengths, p["bx"], p["bh"], keep=True)
-    b = _flip(b0, lengths)
-    e = f @ p["of"] + b @ p["ob"] + p["o"]
-    loss, ge, gt = _crf(e, lengths, y, p["trans"])
-    g = {"trans": gt, "o": ge.sum((0, 1)), "of": np.einsum("tbh,tbk->hk", f, ge, optimize=True), "ob": np.einsum("tbh,tbk->hk", b, ge, optimize=True)}
-    g["fx"], g["fh"] = _lstm_back(x, sf, ge @ p["of"].T, p["fh"])
-    g["bx"], g["bh"] = _lstm_back(xb, sb, _flip(ge @ p["ob"].T, lengths), p["bh"])
-    return loss, g
 
+def fit(samples: list[tuple[str, np.ndarray]], hidden: int = 32, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 5, params: dict | None = None, workers: int = 1, log=None) -> dict[str, np.ndarray]:
+    """Adam on labelled texts ``(text, tag of each character)``; ``workers`` processes share the batches of a step."""
+    import multiprocessing
 
-def fit(samples: list[tuple[str, np.ndarray]], hidden: int = 32, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 5, params: dict | None = None, log=None) -> dict[str, np.ndarray]:
-    """Adam on labelled texts ``(text, tag of each character)``."""
     p = params or new_params(hidden)
     rng = np.random.default_rng(seed)
     m1, m2, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    codes = [encode(t) for t, _ in samples]
-    total = epochs * -(-len(samples) // batch)
+    codes, labels = [encode(t) for t, _ in samples], [y for _, y in samples]
+    pipes = []
+    if workers > 1:
+        ctx = multiprocessing.get_context("fork")
+        for _ in range(workers):
+            mine, theirs = ctx.Pipe()
+            ctx.Process(target=_worker, args=(theirs, codes, labels), daemon=True).start()
+            pipes.append(mine)
+    total = epochs * -(-len(samples) // (batch * workers))
     for epoch in range(epochs):
+        # texts of like length go together, so that the processes of a step end at the same time
         by_length = sorted(range(len(samples)), key=lambda i: len(codes[i]) + rng.random() * 25)
-        chunks = [by_length[i : i + batch] for i in range(0, len(by_length), batch)]
-        rng.shuffle(chunks)
+        groups = [by_length[i : i + batch * workers] for i in range(0, len(by_length), batch * workers)]
+        groups = [groups[i] for i in rng.permutation(len(groups))]
         losses = []
-        for some in chunks:
-            some = sorted(some, key=lambda i: -len(codes[i]))
-            lengths = np.array([len(codes[i]) for i in some])
-            x, y = np.zeros((lengths[0], len(some)), np.int16), np.zeros((lengths[0], len(some)), np.int8)
-            for j, i in enumerate(some):
-                x[: lengths[j], j], y[: lengths[j], j] = codes[i], samples[i][1]
-            loss, g = loss_and_grad(p, x, lengths, y)
+        for group in groups:
+            now = [group[i : i + batch] for i in range(0, len(group), batch)]
+            if pipes:
+                for pipe, some in zip(pipes, now, strict=False):
+                    pipe.send((p, some))
+                got = [pipe.recv() for pipe, _ in zip(pipes, now, strict=False)]
+            else:
+                got = [loss_and_grad(p, *_batch(codes, labels, some)) for some in now]
+            g = {k: sum(d[k] for _, d in got) / len(got) for k in p}
+            losses += [loss for loss, _ in got]
             step += 1
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            lr = rate * min(1, step / 100) * (1 - 0.95 * step / total)
+            lr = rate * min(1, step / 100) * (1 - 0.97 * step / (total + 1))
             for k in p:
                 d = g[k] * min(1.0, 1.0 / norm)
                 m1[k] = 0.9 * m1[k] + 0.1 * d
                 m2[k] = 0.99 * m2[k] + 0.01 * d * d
                 p[k] = (p[k] - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            losses.append(loss)
         if log:
             log(f"epoch {epoch} loss {np.mean(losses):.5f}")
+    for pipe in pipes:
+        pipe.send(None)
     return p
 
 
