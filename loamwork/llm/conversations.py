@@ -1,18 +1,26 @@
-"""Rebuilding ordered conversations from message rows."""
+"""Rebuilding ordered conversations from message rows.
+
+Conversations are components of the links; messages are then sorted by (conversation, instant, speaker, identifier) over the whole cluster. The sort key is
+unique, so its ranges are even however long a conversation is: no window or group ever holds one conversation in a task. In each range a message meets
+the next one, the ranges' ends meet in a table of two rows a range, and a conversation is judged by sums of its rows' findings.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.llm.components import connected_components
 from loamwork.plans.durable import cut
-from loamwork.plans.skew import hot_keys, is_hot, skew_join
+from loamwork.plans.skew import skew_join
 
 USER_ROLES = ("user", "human", "customer", "me", "person", "prompter", "u")
 ASSISTANT_ROLES = ("assistant", "ai", "model", "bot", "chatbot", "gpt", "llm", "a")
-#: Messages of one conversation that one task orders; longer ones are cut into spans of time.
-CHUNK = 20_000
 
 
 def instant(text: Column) -> Column:
@@ -27,9 +35,19 @@ def speaker(role: Column, fallback: Column) -> Column:
     return F.when(word.isin(*USER_ROLES), F.lit(0)).when(word.isin(*ASSISTANT_ROLES), F.lit(1))
 
 
-def conversation_node(key: Column) -> Column:
+def conversation_node(key: Column, salt: int = 0) -> Column:
     """The graph node of a conversation identifier: a negative number, so that it is the least of its component."""
-    return -F.xxhash64(key).bitwiseAND((1 << 62) - 1) - F.lit(1 << 61)
+    return -F.xxhash64(key, F.lit(salt)).bitwiseAND((1 << 62) - 1) - F.lit(1 << 61)
+
+
+def conversation_nodes(keys: DataFrame, key: str, tries: int = 20) -> DataFrame:
+    """``(key, node)`` of every distinct identifier, under a salt for which no two identifiers share a node."""
+    distinct = cut(keys.select(key).distinct())
+    for salt in range(tries):
+        named = distinct.withColumn("node", conversation_node(F.col(key), salt))
+        if named.groupBy("node").count().filter("count > 1").isEmpty():
+            return named
+    raise RuntimeError("identifiers share nodes under every salt")
 
 
 def message_links(messages: DataFrame, ident: str, conversation: str | None = None, reply_to: str | None = None, quotes: str | None = None) -> DataFrame:
@@ -51,7 +69,47 @@ def message_links(messages: DataFrame, ident: str, conversation: str | None = No
     return out
 
 
-def rebuild_conversations(messages: DataFrame, links: DataFrame, chunk: int = CHUNK) -> DataFrame:
+_MET = "comp bigint, id bigint, at bigint, who int, next_comp bigint, next_id bigint, next_who int, edge int, part int"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each message of a sorted range with the one after it; ``edge`` is 1 for the first of the range, 2 for the last, 3 for the only one."""
+    part, held, first = TaskContext.get().partitionId(), None, True
+    names = [f.split()[0] for f in _MET.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 3
+
+    def rows(now: list[np.ndarray], after: list[np.ndarray], edge: np.ndarray) -> pa.RecordBatch:
+        values = [*now, after[0], after[1], after[3], edge, np.full(len(edge), part)]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [c.to_numpy() for c in b.columns]
+        if held is not None:
+            now = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
+        n = len(now[0])
+        if n > 1:
+            edge = np.zeros(n - 1, np.int32)
+            edge[0] = int(first)
+            first = False
+            yield rows([c[:-1] for c in now], [c[1:] for c in now], edge)
+        held = [c[-1:] for c in now]
+    if held is not None:
+        yield rows(held, held, np.array([3 if first else 2], np.int32))
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Messages ``(comp, id, at, who)`` with the next one of all in the order of comp, at, who, id; the very last one has nulls."""
+    met = cut(rows.select("comp", "id", "at", F.col("who").cast("int").alias("who")).orderBy("comp", "at", "who", "id").mapInArrow(_meet, _MET))
+    # the ends of the ranges: at most two rows a range, so this window is bounded by the number of partitions
+    ends = Window.orderBy("part", "edge")
+    last = met.filter("edge > 0").select("*", *[F.lead(c).over(ends).alias(f"n_{c}") for c in ("comp", "id", "who")]).filter("edge >= 2")
+    last = last.select("comp", "id", "at", "who", F.col("n_comp").alias("next_comp"), F.col("n_id").alias("next_id"), F.col("n_who").alias("next_who"))
+    return met.filter("edge < 2").drop("edge", "part").unionByName(last)
+
+
+def rebuild_conversations(messages: DataFrame, links: DataFrame) -> DataFrame:
     """Reply pairs ``(component, user_id, assistant_id, turn_at)`` of every sound conversation.
 
     ``messages`` has ``id`` BIGINT, ``at`` BIGINT (instant, null if unreadable) and ``who`` (0 user, 1 assistant, null
@@ -63,60 +121,16 @@ def rebuild_conversations(messages: DataFrame, links: DataFrame, chunk: int = CH
     parts = connected_components(links, "a", "b")
     messages = messages.select("id", "at", "who")
     # the components' table has one row a node, so this join is even however long a conversation is
-    rows = messages.join(parts, messages["id"] == parts["node"], "left").select("id", "at", "who", F.coalesce("component", "id").alias("comp"))
-    rows = cut(rows)
-    hot = [h[0] for h in hot_keys(rows, ["comp"], floor=chunk)]
-    if hot:
-        warm = rows.filter(F.col("comp").isin(hot))
-        sizes = {r["comp"]: r["count"] for r in warm.groupBy("comp").count().collect()}
-        # three messages at one instant can't alternate, so such a conversation is out before it is ordered
-        bad = {r[0] for r in warm.groupBy("comp").agg(F.count_if(F.col("at").isNull() | F.col("who").isNull()).alias("n")).filter("n > 0").collect()}
-        bad |= {r[0] for r in warm.groupBy("comp", "at").count().filter("count > 2").select("comp").distinct().collect()}
-        # one array of cutting times for each of the few long conversations
-        most = max(2, -(-max(sizes.values()) // chunk))
-        cuts = warm.filter(~F.col("comp").isin(list(bad)) if bad else F.lit(True)).groupBy("comp").agg(F.percentile_approx("at", F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(20 * most)).alias("cuts"))
-        rows = rows.filter(~F.col("comp").isin(list(bad))) if bad else rows
-        warm = rows.filter(F.col("comp").isin(hot)).join(F.broadcast(cuts), "comp").withColumn("chunk", F.size(F.filter("cuts", lambda c: c < F.col("at")))).drop("cuts")
-        rows = rows.filter(~F.col("comp").isin(hot)).withColumn("chunk", F.lit(0)).unionByName(warm)
-    else:
-        rows = rows.withColumn("chunk", F.lit(0))
-    span = Window.partitionBy("comp", "chunk")
-    order = span.orderBy("at", "who", "id")
-    whole = span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = rows.select(
-        "*",
-        F.lead("id").over(order).alias("next"), F.lead("who").over(order).alias("next_who"), F.lag("who").over(order).alias("prev_who"),
-    ).withColumn("wrong", F.when(F.col("at").isNull() | F.col("who").isNull() | (F.col("who") == F.col("next_who")), 1).otherwise(0))
-    seen = seen.withColumn("faults", F.sum("wrong").over(whole))
-    ends = seen.withColumn("first", F.min(F.when(F.col("prev_who").isNull(), F.col("who"))).over(whole)).withColumn("last", F.max(F.when(F.col("next_who").isNull(), F.col("who"))).over(whole))
-    pair = (F.col("who") == 0) & (F.col("next_who") == 1)
-    cold = ends.filter(pair & (F.col("faults") == 0) & (F.col("first") == 0) & (F.col("last") == 1))
-    if not hot:
-        return cold.select(F.col("comp").alias("component"), F.col("id").alias("user_id"), F.col("next").alias("assistant_id"), F.col("at").alias("turn_at"))
-    flag = is_hot(["comp"], [(h,) for h in hot])
-    cold = cold.filter(~flag)
-    # of a long conversation every span is checked by itself, then the row of its spans' ends
-    warm = seen.filter(flag)
-    at_ends = (
-        warm.groupBy("comp", "chunk").agg(
-            F.sum("wrong").alias("faults"),
-            F.min(F.when(F.col("prev_who").isNull(), F.struct("at", "who", "id"))).alias("head"),
-            F.max(F.when(F.col("next_who").isNull(), F.struct("at", "who", "id"))).alias("tail"),
-        )
-    )
-    spans = Window.partitionBy("comp").orderBy("chunk")
-    at_ends = cut(at_ends.withColumn("following", F.lead("head").over(spans)).withColumn("is_first", F.row_number().over(spans) == 1))
-    sound = at_ends.groupBy("comp").agg(
-        F.sum("faults").alias("faults"),
-        F.count_if(F.col("following").isNotNull() & (F.col("following.who") == F.col("tail.who"))).alias("breaks"),
-        F.max(F.when(F.col("is_first"), F.col("head.who"))).alias("first"),
-        F.max(F.when(F.col("following").isNull(), F.col("tail.who"))).alias("last"),
-    ).filter("faults = 0 and breaks = 0 and first = 0 and last = 1").select("comp")
-    inner = warm.filter(pair).select("comp", "id", "next", "at")
-    bridges = at_ends.filter("tail.who = 0 and following.who = 1").select("comp", F.col("tail.id").alias("id"), F.col("following.id").alias("next"), F.col("tail.at").alias("at"))
-    warm = inner.unionByName(bridges).join(F.broadcast(sound), "comp")
-    both = cold.select("comp", "id", "next", "at").unionByName(warm.select("comp", "id", "next", "at"))
-    return both.select(F.col("comp").alias("component"), F.col("id").alias("user_id"), F.col("next").alias("assistant_id"), F.col("at").alias("turn_at"))
+    rows = cut(messages.join(parts, messages["id"] == parts["node"], "left").select("id", "at", "who", F.coalesce("component", "id").alias("comp")))
+    broken = F.col("at").isNull() | F.col("who").isNull()
+    met = cut(neighbours(rows.filter(~broken)))
+    same = F.coalesce(F.col("next_comp") == F.col("comp"), F.lit(False))
+    faults = met.select("comp", F.when(same & (F.col("who") == F.col("next_who")), 1).otherwise(0).alias("fault"), F.when(~same, F.col("who")).alias("closing"))
+    faults = faults.unionByName(rows.filter(broken).select("comp", F.lit(1).alias("fault"), F.lit(None).cast("int").alias("closing")))
+    # speakers that take turns and close with the assistant began with the user if their number is even
+    sound = cut(faults.groupBy("comp").agg(F.count("*").alias("n"), F.sum("fault").alias("faults"), F.max("closing").alias("closing")).filter("faults = 0 and closing = 1 and n % 2 = 0").select("comp"))
+    pairs = met.filter(same & (F.col("who") == 0) & (F.col("next_who") == 1)).select("comp", F.col("id").alias("user_id"), F.col("next_id").alias("assistant_id"), F.col("at").alias("turn_at"))
+    return skew_join(pairs, sound, "comp").withColumnRenamed("comp", "component").select("component", "user_id", "assistant_id", "turn_at")
 
 
 def session_messages(entries: DataFrame) -> DataFrame:
@@ -128,14 +142,27 @@ def session_messages(entries: DataFrame) -> DataFrame:
     kept = entries.filter(
         F.col("entry_id").isNotNull() & F.col("session_id").rlike(r"(?U)\S") & F.col("content").rlike(r"(?U)\S") & ~F.coalesce(F.lower(F.trim("type")) == "queue-operation", F.lit(False))
     )
-    return kept.groupBy(F.col("entry_id").alias("id")).agg(F.min(instant(F.col("timestamp"))).alias("at"), F.min(speaker(F.col("role"), F.col("type"))).alias("who"), F.min(conversation_node(F.col("session_id"))).alias("node"))
+    return kept.groupBy(F.col("entry_id").alias("id")).agg(F.min(instant(F.col("timestamp"))).alias("at"), F.min(speaker(F.col("role"), F.col("type"))).alias("who"), F.min("session_id").alias("session_id"))
 
 
 def session_reply_pairs(entries: DataFrame) -> DataFrame:
     """``(session_id, entry_a, entry_b)``: the reply pairs of kept sessions, the smaller entry first."""
     messages = cut(session_messages(entries))
-    links = messages.select(F.col("id").alias("a"), F.col("node").alias("b"))
-    pairs = rebuild_conversations(messages.select("id", "at", "who"), links)
-    names = entries.filter(F.col("session_id").rlike(r"(?U)\S")).select("session_id").distinct().select("session_id", conversation_node(F.col("session_id")).alias("component"))
-    named = skew_join(cut(pairs), names, "component")
+    names = cut(conversation_nodes(messages, "session_id"))
+    links = skew_join(messages, names, "session_id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    pairs = rebuild_conversations(messages, links)
+    named = skew_join(cut(pairs), names.withColumnRenamed("node", "component"), "component")
     return named.select("session_id", F.least("user_id", "assistant_id").alias("entry_a"), F.greatest("user_id", "assistant_id").alias("entry_b"))
+
+
+def chained_reply_pairs(entries: DataFrame) -> DataFrame:
+    """``(entry_a, entry_b)``: reply pairs where messages carry no session but the message they answer.
+
+    The links are made from the log's order: each message replies to the one before it, and quotes the one before that.
+    """
+    messages = cut(session_messages(entries))
+    ordered = neighbours(messages.withColumn("at", F.coalesce("at", F.lit(0).cast("long"))).withColumn("who", F.coalesce("who", F.lit(2))).withColumn("comp", F.xxhash64("session_id")))
+    step = cut(ordered.filter("comp = next_comp").select(F.col("next_id").alias("id"), F.col("id").alias("reply_to")))
+    quoted = step.join(step.select(F.col("id").alias("reply_to"), F.col("reply_to").alias("before")), "reply_to", "left").select("id", "reply_to", F.when(F.col("before").isNotNull(), F.array("before")).alias("quotes"))
+    pairs = rebuild_conversations(messages, message_links(quoted, "id", reply_to="reply_to", quotes="quotes"))
+    return pairs.select(F.least("user_id", "assistant_id").alias("entry_a"), F.greatest("user_id", "assistant_id").alias("entry_b"))

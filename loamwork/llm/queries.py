@@ -65,6 +65,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.session_reply_pairs(table(spark, sf_dir, "session_entry"))
 
 
+def p4_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs found without session identifiers, from reply and quote links alone."""
+    return conversations.chained_reply_pairs(table(spark, sf_dir, "session_entry"))
+
+
 P4_SQL = r"""
 WITH m AS (SELECT entry_id, min(session_id) AS s,
                   min(CASE WHEN regexp_matches(trim(timestamp), '^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}') THEN try_cast(trim(timestamp) AS TIMESTAMPTZ) END) AS t,
@@ -75,8 +80,8 @@ WITH m AS (SELECT entry_id, min(session_id) AS s,
      o AS (SELECT *, lead(entry_id) OVER p AS nx, lead(who) OVER p AS nw, row_number() OVER p AS k, count(*) OVER (PARTITION BY s) AS n
            FROM w WINDOW p AS (PARTITION BY s ORDER BY t, who, entry_id)),
      ok AS (SELECT s FROM o GROUP BY s HAVING count_if(t IS NULL OR who IS NULL OR who = nw) = 0 AND count_if(k = 1 AND who = 0) = 1 AND count_if(k = n AND who = 1) = 1)
-SELECT s AS session_id, least(entry_id, nx) AS entry_a, greatest(entry_id, nx) AS entry_b FROM o JOIN ok USING (s) WHERE who = 0 AND nw = 1
 """
+P4_PAIRS = "least(entry_id, nx) AS entry_a, greatest(entry_id, nx) AS entry_b FROM o JOIN ok USING (s) WHERE who = 0 AND nw = 1"
 
 
 def _skill_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_make_up": p3_make_up,
     "p4_found": p4_found,
+    "p4_chains": p4_chains,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -173,7 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "p1_found": P1_SQL + "SELECT category, skill_id FROM ranked WHERE k <= 3",
     "p1_ranked": P1_SQL + "SELECT category, star_count, skill_id FROM ranked WHERE k <= 3",
-    "p4_found": P4_SQL,
+    "p4_found": f"{P4_SQL}SELECT s AS session_id, {P4_PAIRS}",
+    "p4_chains": f"{P4_SQL}SELECT {P4_PAIRS}",
     "p5_found": P5_SQL,
     "p6_found": P6_SQL + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_terms": P6_SQL + "SELECT field, term, n_rows, n_records, mark FROM m",

@@ -1,7 +1,7 @@
 import random
 
 from loamwork.llm.components import connected_components
-from loamwork.llm.conversations import message_links, rebuild_conversations, session_reply_pairs
+from loamwork.llm.conversations import chained_reply_pairs, message_links, neighbours, rebuild_conversations, session_reply_pairs
 
 
 def test_components_match_union_find(spark):
@@ -51,9 +51,25 @@ def test_reply_chains_without_identifier_and_long_conversations(spark):
     r.shuffle(rows)
     m = spark.createDataFrame(rows, "id bigint, at bigint, who int")
     lk = spark.createDataFrame(links, "a bigint, b bigint")
-    for chunk in (20_000, 10):
-        got = {(x["user_id"], x["assistant_id"]) for x in rebuild_conversations(m, lk, chunk).collect()}
-        assert got == brute(rows, comp)
+    got = {(x["user_id"], x["assistant_id"]) for x in rebuild_conversations(m, lk).collect()}
+    assert got == brute(rows, comp)
+
+
+def test_ranges_cut_through_conversations(spark):
+    """One conversation holds nearly all rows; the ranges of the sort divide it evenly and lose no pair."""
+    rows = [(i, 1_000 * i, i % 2) for i in range(4_000)] + [(10_000 + i, 5, i) for i in range(2)] + [(20_000 + i, 7 * i, i % 2) for i in range(3)]
+    comp = {i: 0 if i < 4_000 else 1 if i < 20_000 else 2 for i, _, _ in rows}
+    m = spark.createDataFrame(rows, "id bigint, at bigint, who int").repartition(7)
+    lk = spark.createDataFrame([(i, -comp[i] - 1) for i, _, _ in rows], "a bigint, b bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = neighbours(m.selectExpr("id", "at", "who", "cast(if(id < 4000, 0, if(id < 20000, 1, 2)) as bigint) as comp"))
+        order = sorted(rows, key=lambda r: (comp[r[0]], r[1], r[2], r[0]))
+        assert {(x["id"], x["next_id"]) for x in met.collect()} == {(a[0], b[0] if b else None) for a, b in zip(order, [*order[1:], None], strict=True)}
+        got = {(x["user_id"], x["assistant_id"]) for x in rebuild_conversations(m, lk).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows, comp) and len(got) == 2_001
 
 
 def test_links_from_replies_and_quotes(spark):
@@ -76,3 +92,5 @@ def test_session_log(spark):
     df = spark.createDataFrame(rows, "entry_id bigint, type string, timestamp string, session_id string, role string, content string, comp string")
     assert [tuple(x) for x in session_reply_pairs(df).collect()] == [("s", 1, 2)]
     assert session_reply_pairs(df.limit(0)).count() == 0
+    assert [tuple(x) for x in chained_reply_pairs(df).collect()] == [(1, 2)]
+    assert chained_reply_pairs(df.limit(0)).count() == 0

@@ -25,7 +25,7 @@ def brute(rows, t):
     return {(a, b) for a, x in s for b, y in s if a < b and len(x & y) >= t * len(x | y)}
 
 
-def test_all_links(spark, monkeypatch):
+def test_all_links(spark):
     rows = data()
     df = spark.createDataFrame(rows + [("n1", None), ("n2", []), (None, ["w1"])], "id string, w array<string>")
     for t in (0.7, 0.9):
@@ -36,12 +36,38 @@ def test_all_links(spark, monkeypatch):
         got = {tuple(sorted(p)) for p in got}
         assert got == {tuple(sorted((rep[a], rep[b]))) for a, b in expect if rep[a] != rep[b]}
         assert {i for i, _ in rows} == set(rep)
-    # crowded nodes in tiles give the same
-    monkeypatch.setattr(N, "TILE", 1)
-    monkeypatch.setattr(N, "PROBE", 1)
-    tiled = {tuple(r) for r in N.near_copy_pairs(df, "id", "w", 0.7).collect()}
-    monkeypatch.undo()
-    assert tiled == {tuple(r) for r in N.near_copy_pairs(df, "id", "w", 0.7).collect()}
+
+
+def test_crowded_roots_and_tiles_give_the_same(spark, monkeypatch):
+    rows = data(8) + [(f"e{i:03d}", sorted({"a", "b", "c", "d", f"x{i % 40}"})) for i in range(120)] + [(f"f{i}", ["a", "b", "c", "d"][: i % 4 + 1]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, w array<string>")
+    plain = {tuple(r) for r in N.near_copy_pairs(df, "id", "w", 0.7).collect()}
+    least = {}
+    for i, w in sorted(rows):
+        least.setdefault(tuple(w), i)
+    sets = [(i, list(w)) for w, i in least.items()]
+    assert plain == brute(sets, 0.7) | {(least[tuple(w)], i) for i, w in rows if least[tuple(w)] != i}
+    for depth in (1, 3, 6):  # roots descended, and cut into tiles at the last depth
+        monkeypatch.setattr(N, "CROWD", 2)
+        monkeypatch.setattr(N, "DEPTH", depth)
+        assert {tuple(r) for r in N.near_copy_pairs(df, "id", "w", 0.7).collect()} == plain
+        monkeypatch.undo()
+
+
+def test_trie_join_alone():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 12, dtype=np.int64)
+    s = np.concatenate([base, base ^ (1 << rng.integers(0, 60, 12)), rng.integers(0, 1 << 62, 300, dtype=np.int64)])
+    n = len(s)
+    key, differ, size = rng.integers(0, 3, n), rng.integers(0, 4, n).astype(np.int32), np.full(n, 40, np.int32)
+    key[12:24], key[:12] = key[:12], key[:12]
+    table = pa.table({"key": key, "tile": np.zeros(n, np.int32), "rid": np.arange(n), "size": size, "differ": differ, "s0": s})
+    got = {tuple(map(int, p)) for p in zip(*N._join(0.7, 1)(table).to_pydict().values(), strict=True)}
+    bits = lambda i, j: int(differ[i] + differ[j]) + (int(s[i]) ^ int(s[j])).bit_count()
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and bits(i, j) <= int(0.3 / 1.7 * 80)}
 
 
 def test_copies_are_members_of_one_set(spark):
