@@ -31,7 +31,7 @@ CROWD, DEPTH = 4_096, 6
 #: A descent makes several rows of one, so each level must be this much more crowded to be descended again; below that tiles are cheaper.
 FAN = 8
 #: Node pairs expanded at once, rows of a task's group, and pairs of rows below which two nodes are compared directly.
-SLICE, GROUP_ROWS, LEAF = 1_000_000, 150_000, 12
+SLICE, GROUP_ROWS, LEAF = 1_000_000, 150_000, 256
 #: The virtual word that ends every set.
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -182,25 +182,37 @@ def _join(t: float, sketch_words: int):
         ends, child_ends = np.append(roots[1:], n), np.append(nodes[1:], n)
         largest = np.maximum.reduceat(size, nodes)
 
-        def compare(ulo, uhi, vlo, vhi) -> None:
-            nv = vhi - vlo
-            many = (uhi - ulo) * nv
-            total = np.concatenate([[0], np.cumsum(many)])
-            for lo in range(0, int(total[-1]), SLICE):
-                flat = np.arange(lo, min(lo + SLICE, int(total[-1])))
-                which = np.searchsorted(total, flat, "right") - 1
-                off = flat - total[which]
-                x, y = ulo[which] + off // nv[which], vlo[which] + off % nv[which]
-                ok = (ulo[which] != vlo[which]) | (x < y)
-                x, y = x[ok], y[ok]
-                bits = differ[x] + differ[y]
-                for z in s:
-                    bits = bits + np.bitwise_count(z[x] ^ z[y])
-                ok = bits <= np.floor(beta * (size[x].astype(float) + size[y]) + 1e-9)
-                ok &= np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9
-                x, y = x[ok], y[ok]
-                if len(x):
-                    found.append(np.unique(np.stack([np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])], 1), axis=0))
+        def compare(ulo, uhi, vlo, vhi, base, budget) -> None:
+            """The rows of one node against those of the other, of a node with itself each two once."""
+            nu = uhi - ulo
+            node = np.repeat(np.arange(len(nu)), nu)
+            x = ulo[node] + np.arange(len(node)) - np.repeat(np.cumsum(nu) - nu, nu)
+            first = np.where(ulo[node] == vlo[node], x + 1, vlo[node])
+            ny = vhi[node] - first
+            room = np.minimum(budget - base, 255)[node].astype(np.int16)
+            total = np.cumsum(ny)
+            lo = 0
+            while lo < len(x):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE, "right")))
+                n_here = ny[lo:hi]
+                ends = np.cumsum(n_here)
+                y = np.repeat(first[lo:hi] - ends + n_here, n_here)
+                y += np.arange(len(y))
+                bits = np.bitwise_count(np.repeat(s[0][x[lo:hi]], n_here) ^ s[0][y])
+                if sketch_words > 1:
+                    bits = bits.astype(np.int16)
+                    for z in s[1:]:
+                        bits += np.bitwise_count(np.repeat(z[x[lo:hi]], n_here) ^ z[y])
+                hit = np.flatnonzero(bits <= np.repeat(room[lo:hi], n_here))
+                if len(hit):
+                    a, b, all_bits = x[lo:hi][np.searchsorted(ends, hit, "right")], y[hit], bits[hit].astype(np.int64)
+                    all_bits = all_bits + differ[a] + differ[b]
+                    ok = all_bits <= np.floor(beta * (size[a].astype(float) + size[b]) + 1e-9)
+                    ok &= np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+                    a, b = rid[a[ok]], rid[b[ok]]
+                    if len(a):
+                        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+                lo = hi
 
         def ones_before(depth: int) -> np.ndarray:
             """Rows with bit ``depth`` set before each row; the rows of a node are sorted, so they are its upper child's."""
@@ -208,28 +220,28 @@ def _join(t: float, sketch_words: int):
                 ones[depth] = np.concatenate([[0], np.cumsum((s[depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1))]).astype(np.int64)
             return ones[depth]
 
-        def walk(depth: int, ulo, uhi, vlo, vhi, acc, budget) -> None:
-            todo = [(depth, ulo, uhi, vlo, vhi, acc, budget)]
+        def walk(depth: int, ulo, uhi, vlo, vhi, acc, base, budget) -> None:
+            todo = [(depth, ulo, uhi, vlo, vhi, acc, base, budget)]
             while todo:
                 depth, *arrays = todo.pop()
                 if len(arrays[0]) > SLICE:
                     todo += [(depth, *(z[i : i + SLICE] for z in arrays)) for i in range(0, len(arrays[0]), SLICE)]
                     continue
-                ulo, uhi, vlo, vhi, acc, budget = arrays
+                ulo, uhi, vlo, vhi, acc, base, budget = arrays
                 small = (uhi - ulo) * (vhi - vlo) <= LEAF if depth < 64 * sketch_words else np.ones(len(ulo), bool)
                 if small.any():
-                    compare(ulo[small], uhi[small], vlo[small], vhi[small])
+                    compare(*(z[small] for z in (ulo, uhi, vlo, vhi, base, budget)))
                     big = ~small
-                    ulo, uhi, vlo, vhi, acc, budget = (z[big] for z in (ulo, uhi, vlo, vhi, acc, budget))
+                    ulo, uhi, vlo, vhi, acc, base, budget = (z[big] for z in (ulo, uhi, vlo, vhi, acc, base, budget))
                 if not len(ulo):
                     continue
                 c = ones_before(depth)
                 um, vm = uhi - (c[uhi] - c[ulo]), vhi - (c[vhi] - c[vlo])
                 same = ulo == vlo
                 # equal bits add nothing, different ones add one; a node with itself gives its two children crosswise once
-                kids = [(ulo, um, vlo, vm, acc, budget), (um, uhi, vm, vhi, acc, budget), (ulo, um, vm, vhi, acc + 1, budget), tuple(z[~same] for z in (um, uhi, vlo, vm, acc + 1, budget))]
+                kids = [(ulo, um, vlo, vm, acc, base, budget), (um, uhi, vm, vhi, acc, base, budget), (ulo, um, vm, vhi, acc + 1, base, budget), tuple(z[~same] for z in (um, uhi, vlo, vm, acc + 1, base, budget))]
                 kids = [np.concatenate(z) for z in zip(*kids, strict=True)]
-                ok = (kids[0] < kids[1]) & (kids[2] < kids[3]) & (kids[4] <= kids[5]) & ((kids[0] != kids[2]) | (kids[1] - kids[0] > 1))
+                ok = (kids[0] < kids[1]) & (kids[2] < kids[3]) & (kids[4] <= kids[6]) & ((kids[0] != kids[2]) | (kids[1] - kids[0] > 1))
                 if ok.any():
                     todo.append((depth + 1, *(z[ok] for z in kids)))
 
@@ -248,7 +260,7 @@ def _join(t: float, sketch_words: int):
             budget = np.floor(beta * (largest[u].astype(float) + largest[v]) + 1e-9).astype(np.int64)
             ok = (u <= v) & (acc <= budget)
             u, v = u[ok], v[ok]
-            walk(0, nodes[u], child_ends[u], nodes[v], child_ends[v], acc[ok], budget[ok])
+            walk(0, nodes[u], child_ends[u], nodes[v], child_ends[v], acc[ok], acc[ok], budget[ok])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
