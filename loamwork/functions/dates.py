@@ -36,3 +36,14 @@ def months_old(stamp: Column, year: int, month: int) -> Column:
     """Months between a yyyy-MM stamp and the given month."""
     y, m = F.split(stamp, "-")[0].cast("int"), F.split(stamp, "-")[1].cast("int")
     return F.lit(year * 12 + month) - (y * 12 + m)
+
+
+def date_range(today: Column, days: int) -> Column:
+    """Struct (first, last) of the ``days`` days up to today."""
+    return F.struct(F.date_sub(today, days).alias("first"), today.cast("date").alias("last"))
+
+
+def stale_stamps(text: Column, year: int, month: int, most: int) -> Column:
+    """yyyy-MM stamps on lines that speak of 'verified' and are more than ``most`` months older than the given month."""
+    stamps = F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike("(?i)verified")), lambda x: F.regexp_extract_all(x, F.lit(r"\b(20\d{2}-(?:0[1-9]|1[0-2]))\b"), 1)))
+    return F.filter(stamps, lambda s: months_old(s, year, month) > most)

@@ -63,9 +63,10 @@ def mentions(c: Column) -> Column:
 
 
 def outside_fences(c: Column, change) -> Column:
-    """``change`` applied to the parts of a text outside ``` fences."""
+    """``change`` applied to the parts of a text outside ``` fences; a fence that is never closed protects nothing."""
     parts = F.split(c, "```")
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, change(x)).otherwise(x)), "```")
+    last_open = (F.size(parts) % 2 == 0)
+    return F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 0) | (last_open & (i == F.size(parts) - 1)), change(x)).otherwise(x)), "```")
 
 
 def hide_amounts(c: Column, by: str = "the billed cost") -> Column:
@@ -88,7 +89,7 @@ def is_safe_id(c: Column) -> Column:
 
 
 def front_matter(c: Column) -> Column:
-    """Keys and values between the two --- lines at the start of a document, quotes around values removed; an empty map without them."""
+    """Keys and values, as text, between the two --- lines at the start of a document, quotes around values removed; an empty map without them."""
     head = F.regexp_extract(c, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
     pairs = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
     entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]+):", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)), r"""^["']|["']$""", "").alias("value")))
@@ -103,6 +104,47 @@ def sections(c: Column) -> Column:
     return F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)).alias("heading"), F.regexp_replace(F.regexp_replace(p, r"\A[^\n]*\n?", ""), r"\A\s+|\s+\z", "").alias("body")))
 
 
+def joined_sections(c: Column) -> Column:
+    """Array of (heading, body) in order of first appearance: headings lower-cased, what stands before the first is 'general', repeated headings append.
+
+    First-level headings are left out; empty bodies too.
+    """
+    parts = F.split(F.regexp_replace(c, r"(?m)^# [^\n]*\n?", ""), r"(?m)^## ")
+    pieces = F.transform(parts, lambda p, i: F.struct(F.when(i == 0, F.lit("general")).otherwise(F.lower(F.trim(F.regexp_extract(p, r"\A([^\n]*)", 1)))).alias("heading"), F.when(i == 0, p).otherwise(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body")))
+    names = F.array_distinct(F.transform(pieces, lambda x: x["heading"]))
+    whole = F.transform(names, lambda n: F.struct(n.alias("heading"), F.regexp_replace(F.array_join(F.transform(F.filter(pieces, lambda x: x["heading"] == n), lambda x: x["body"]), ""), r"\A\s+|\s+\z", "").alias("body")))
+    return F.filter(whole, lambda x: x["body"] != "")
+
+
+def front_matter_lists(c: Column) -> Column:
+    """Keys of the front matter whose value is a list, written as ``[a, b]`` or as indented ``- a`` lines, with their items; quotes removed."""
+    head = F.concat(F.regexp_extract(c, r"(?s)\A---\r?\n(.*?)\r?\n---", 1), F.lit("\n"))
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^["']|["']$""", "")
+    pattern = r"(?m)^([A-Za-z_][\w-]*)[ \t]*:[ \t]*(\[[^\]\n]*\][ \t]*\n|\n(?:[ \t]*-[ \t]+[^\n]*\n)+)"
+    keys, values = F.regexp_extract_all(head, F.lit(pattern), 1), F.regexp_extract_all(head, F.lit(pattern), 2)
+    flow = lambda v: F.split(F.regexp_replace(F.trim(v), r"^\[|\]\s*$", ""), ",")
+    block = lambda v: F.regexp_extract_all(v, F.lit(r"(?m)^[ \t]*-[ \t]+([^\n]*)$"), 1)
+    items = F.transform(values, lambda v: F.filter(F.transform(F.when(v.startswith("["), flow(v)).otherwise(block(v)), bare), lambda x: x != ""))
+    return F.map_from_entries(F.filter(F.arrays_zip(keys.alias("key"), items.alias("value")), lambda e: e["key"].isNotNull()))
+
+
+def dump_front_matter(fields: Column, body: Column) -> Column:
+    """A document with the map as front matter, keys in order, values with a colon, hash, quote or blank edge in double quotes."""
+    quoted = lambda v: F.when(v.rlike(r"""[:#"'\[\]{}]|^\s|\s$|^$"""), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(v)
+    lines = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(k, F.lit(": "), quoted(F.coalesce(F.element_at(fields, k), F.lit("")))))
+    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), F.coalesce(body, F.lit("")))
+
+
+def fresh(written: Column, now: Column, hours: float) -> Column:
+    """Whether a cached entry is younger than ``hours``, strictly; a null time is not fresh."""
+    return F.coalesce(F.unix_micros(now) - F.unix_micros(written) < hours * 3_600_000_000, F.lit(False))
+
+
+def json_default(c: Column, path: str, default: str) -> Column:
+    """The value at a JSON path, or the default where it is missing, null or false."""
+    return F.coalesce(F.nullif(F.get_json_object(c, path), F.lit("false")), F.lit(default))
+
+
 def clean_lines(c: Column) -> Column:
     """Without first-level headings and 'Generated by' footers."""
     return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^# |(?i)^[\W_]*generated (by|with|on) ")), "\n")

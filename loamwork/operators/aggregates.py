@@ -66,3 +66,18 @@ def classify_metric(value: Column, ok: float | None = None, warning: float | Non
 def round_half_up(x: Column) -> Column:
     """Rounding to an integer with halves towards positive infinity."""
     return F.floor(x + 0.5)
+
+
+def rounded_summary(df: DataFrame, value: Column, digits: int = 2) -> DataFrame:
+    """One row ``(count, total, worst)`` of values that are rounded before they are added; an empty table gives 0, 0 and null."""
+    v = F.round(value, digits)
+    return df.agg(F.count(v).alias("count"), F.coalesce(F.round(F.sum(v), digits), F.lit(0.0)).alias("total"), F.max(v).alias("worst"))
+
+
+def tally(df: DataFrame, case: str, passed: Column, problem: Column, most: int = 20) -> DataFrame:
+    """``(case, passed, failed, problems)``: how often each case held, and up to ``most`` of its distinct problems in order; a null result is a failure."""
+    ok = F.coalesce(passed, F.lit(False))
+    counts = df.groupBy(case).agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
+    # distinct problems first, so that what a case gathers is bounded by their number
+    listed = df.filter(~ok & problem.isNotNull()).select(case, problem.alias("_p")).distinct().groupBy(case).agg(F.slice(F.array_sort(F.collect_list("_p")), 1, most).alias("problems"))
+    return counts.join(listed, case, "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))

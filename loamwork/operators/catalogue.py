@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.functions.versions import version
+from loamwork.functions.versions import named_version
 
 #: Topics that one call can score against; they travel in the plan.
 MOST_TOPICS = 1_000
@@ -53,7 +53,7 @@ def infer_category(items: DataFrame, ident: str, given: Column, text: Column, ke
 
 def newest(df: DataFrame, name: str, pattern: str) -> DataFrame:
     """The row with the highest version among those whose name matches; equal versions go to the smaller name."""
-    some = df.filter(F.col(name).rlike(pattern)).withColumn("_v", version(F.col(name)))
+    some = df.filter(F.col(name).rlike(pattern)).withColumn("_v", named_version(F.col(name)))
     return some.orderBy(F.desc("_v"), name).limit(1).drop("_v")
 
 
@@ -73,3 +73,25 @@ def untranslated(glossaries: DataFrame, terms: str, total: str) -> DataFrame:
     """Adds ``missing`` (terms with a null or blank translation, sorted) and ``ok``: none missing and as many terms as stated."""
     missing = F.array_sort(F.map_keys(F.map_filter(terms, lambda k, v: v.isNull() | (F.trim(v) == ""))))
     return glossaries.withColumn("missing", missing).withColumn("ok", (F.size("missing") == 0) & (F.size(F.map_keys(terms)) == F.col(total)))
+
+
+def ranked_with_fill(scores: DataFrame, key: str, score: str, position: str, n: int) -> DataFrame:
+    """The ``n`` best rows of each key by score, then by position; rows of score 0 fill up what the positive ones leave. ``n`` below 1 gives none."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(F.desc(score), position)
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(n, 0))
+
+
+def top_entries(df: DataFrame, ident: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in the given order, each identifier once with its best row."""
+    best = df.filter(F.col(ident).isNotNull()).groupBy(ident).agg(F.min(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], F.struct(*[F.col(c) for c in df.columns]).alias("_row"))).alias("_m"))
+    return best.orderBy("_m", ident).limit(n).select("_m._row.*")
+
+
+def state_of_groups(latest: DataFrame, name: str, state: str, groups: dict[str, list[str]], done: str = "success") -> DataFrame:
+    """``(group, state)`` for groups of alternative names: ``done`` if the latest run of any of them is, 'pending' otherwise, unseen ones too."""
+    spark = latest.sparkSession
+    wanted = spark.createDataFrame([(g, n) for g, names in groups.items() for n in names], "group string, name string")
+    met = wanted.join(latest.select(F.col(name).alias("name"), F.col(state).alias("s")), "name", "left")
+    return met.groupBy("group").agg(F.when(F.max(F.coalesce(F.col("s") == done, F.lit(False))), done).otherwise("pending").alias("state"))

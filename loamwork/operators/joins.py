@@ -69,3 +69,20 @@ def split_by_allow_list(df: DataFrame, allowed: DataFrame, key: str, keep: Colum
     known = allowed.withColumn("_known", F.lit(True))
     out = df.join(known, key, "left")
     return out.withColumn("verdict", F.when(F.col("_known").isNull(), "unknown").when(keep, "kept").otherwise("version")).drop("_known")
+
+
+def with_optional(left: DataFrame, right: DataFrame, key: str, value: str, keep: Column) -> DataFrame:
+    """Left rows with the right side's value, null where there is none, of which those remain for which ``keep`` is true: a missing value is no zero, so a condition on it drops the row."""
+    return left.join(right.select(key, value), key, "left").filter(F.coalesce(keep, F.lit(False)))
+
+
+def indexed_mentions(messages: DataFrame, ident: str, found: Column, index: DataFrame, key: str, most: int, strict: bool = False) -> DataFrame:
+    """``(id, mention, place)``: of each message the distinct mentions that the index holds, in order of appearance, at most ``most``; ``strict`` raises where there are more."""
+    if most < 1:
+        raise ValueError("most must be positive")
+    rows = messages.select(F.col(ident).alias("id"), F.posexplode(F.array_distinct(found)).alias("at", "mention"))
+    known = rows.join(index.select(F.col(key).alias("mention")).distinct(), "mention", "left_semi")
+    listed = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "mention"))).alias("m"))
+    if strict:
+        listed = listed.withColumn("m", F.when(F.size("m") > most, F.raise_error(F.lit(f"more than {most} mentions in one message"))).otherwise(F.col("m")))
+    return listed.select("id", F.posexplode(F.slice("m", 1, most)).alias("place", "x")).select("id", "x.mention", (F.col("place") + 1).alias("place"))

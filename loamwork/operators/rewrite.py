@@ -51,10 +51,16 @@ def snippet_checks(pages: DataFrame, page: str, text: str, rules: DataFrame) ->
     return rules.join(p, "page", "left").select("page", "snippet", "expected", (F.coalesce(F.contains("_t", F.col("snippet")), F.lit(False)) == F.col("expected")).alias("ok"))
 
 
+#: Modules that come with the runtime.
+BUILT_IN = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls tty url util v8 vm worker_threads zlib".split()
+
+
 def undeclared(df: DataFrame, text: str, declared: str) -> DataFrame:
-    """Adds ``undeclared``: package names imported in the text (import ... from / require) that the array column doesn't name; relative and built-in ones don't count."""
-    names = F.concat(F.regexp_extract_all(F.col(text), F.lit(r"""(?:from|import)\s+['"]([^'"]+)['"]"""), 1), F.regexp_extract_all(F.col(text), F.lit(r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), 1))
+    """Adds ``undeclared``: package names imported in the text's code blocks (import ... from / require) that the array column doesn't name; relative and built-in ones don't count."""
+    code = F.array_join(F.regexp_extract_all(F.col(text), F.lit(r"(?s)```[^\n]*\n(.*?)```"), 1), "\n")
+    names = F.concat(F.regexp_extract_all(code, F.lit(r"""(?:from|import)\s+['"]([^'"]+)['"]"""), 1), F.regexp_extract_all(code, F.lit(r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), 1))
     package = F.transform(F.filter(names, lambda n: ~n.rlike(r"^(\.|/|node:)")), lambda n: F.regexp_extract(n, r"^((?:@[^/]+/)?[^/]+)", 1))
+    package = F.filter(package, lambda n: ~n.isin(*BUILT_IN))
     return df.withColumn("undeclared", F.array_sort(F.array_except(F.array_distinct(package), F.coalesce(declared, F.array().cast("array<string>")))))
 
 

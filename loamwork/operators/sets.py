@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions.text import char_ngrams
+from loamwork.plans.durable import cut
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -15,22 +16,26 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def similar_pairs(df: DataFrame, ident: str, text: str, threshold: float, n: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``(a, b, similarity)`` with a < b and the classes ``(rep, ids)`` of equal sets: texts whose sets of character grams are alike by ``threshold`` or more.
+    """``(a, b, similarity)`` with a < b and the members ``(rep, id)`` of equal sets: texts whose sets of character grams are alike by ``threshold`` or more.
 
     Prefix filter, exact: grams are ordered from rare to frequent by a count over all texts, and a similar pair shares one of the first
     size - ceil(threshold * size) + 1 grams of each. Texts with one gram set are joined through one of them.
     """
+    joined = F.array_join("g", "\n")
     sets = df.select(F.col(ident).alias("id"), char_ngrams(F.col(text), n).alias("g")).filter("id is not null and g is not null")
-    classes = sets.groupBy("g").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids"))
+    # sets are told apart by 128 bits of hash; each is named by its least identifier, its members are rows
+    sets = cut(sets.select("id", "g", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("second"), joined).alias("h2")))
+    classes = cut(sets.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("g").alias("g")))
+    members = sets.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id").distinct()
     grams = classes.select("rep", F.explode("g").alias("x"))
     ranked = grams.join(grams.groupBy("x").agg(F.count("*").alias("df")), "x").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("o"))
     size = F.size("o")
-    prefix = ranked.select("rep", size.alias("n"), F.explode(F.slice(F.col("o.x"), F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("x"))
+    prefix = cut(ranked.select("rep", size.alias("n"), F.explode(F.slice(F.col("o.x"), F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))).alias("x")))
     a, b = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "x"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "x")
     cand = a.join(b, "x").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     ga, gb = classes.select(F.col("rep").alias("a"), F.col("g").alias("ga")), classes.select(F.col("rep").alias("b"), F.col("g").alias("gb"))
     near = cand.join(ga, "a").join(gb, "b").withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
-    return near, classes.select("rep", "ids")
+    return cut(near), cut(members)
 
 
 def drop_near_duplicates(df: DataFrame, ident: str, text: str, score: str, threshold: float, n: int = 3) -> DataFrame:
@@ -38,12 +43,12 @@ def drop_near_duplicates(df: DataFrame, ident: str, text: str, score: str, thres
 
     A row loses even to a row that is itself dropped.
     """
-    near, classes = similar_pairs(df, ident, text, threshold, n)
+    near, members = similar_pairs(df, ident, text, threshold, n)
     scores = df.select(F.col(ident).alias("id"), F.col(score).alias("s"))
-    member = classes.select("rep", F.explode("ids").alias("id")).join(scores, "id")
+    member = members.join(scores, "id")
     # within one gram set all but the best lose; between sets a row loses if the other set's best beats it
     best = member.groupBy("rep").agg(F.min(F.struct((-F.col("s")).alias("m"), F.col("id"))).alias("b")).select(F.col("rep").alias("other"), (-F.col("b.m")).alias("bs"), F.col("b.id").alias("bid"))
-    links = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    links = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
     losers = member.join(links, member["rep"] == links["a"]).join(best, F.col("b") == F.col("other")).filter("bs > s or (bs = s and bid < id)").select(F.col("id").alias(ident)).distinct()
     return df.join(losers, ident, "left_anti")
 

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trailing_count(df: DataFrame, ts: str, seconds: int, limit: int, by: list[str] | None = None, bucket_seconds: int = 86_400) -> DataFrame:
+def trailing_count(df: DataFrame, ts: str, seconds: int, limit: int, by: list[str] | None = None, bucket_rows: int = 200_000) -> DataFrame:
     """Rows with ``recent``, the rows of the last ``seconds`` up to and with theirs, and ``exceeded`` (recent >= limit).
 
-    Without ``by`` the whole stream is one sequence; it is cut into buckets of time, each row also given to the next bucket as
-    far as its window reaches, so that no task gets the whole stream.
+    The stream is cut into buckets of time of about ``bucket_rows`` rows each, each row also given to the next buckets as far as its window
+    reaches, so that no task gets the whole stream, however fast it runs.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     span = seconds * 1_000_000
     keys = by or []
-    width = max(bucket_seconds, seconds) * 1_000_000
+    extent = df.select(at.alias("a")).agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("a").alias("n")).first()
+    width = max(span, 1_000_000, int(((extent["hi"] or 0) - (extent["lo"] or 0)) * bucket_rows / max(extent["n"], 1)))
     marked = df.withColumn("_at", at).withColumn("_home", F.floor(F.col("_at") / width))
     reach = F.floor((F.col("_at") + span) / width)
     spread = marked.withColumn("_bucket", F.explode(F.sequence("_home", reach)))

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset, as in local tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every node shares")
         named = tempfile.mkdtemp(prefix="loamwork-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

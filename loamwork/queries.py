@@ -32,11 +32,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("route_errors", """
+@query("error_prone_users", """
 SELECT user_id, count_if(event_type = 'error') AS errors, count(*) AS total, count_if(event_type = 'error') / count(*) AS rate
 FROM events GROUP BY user_id HAVING count_if(event_type = 'error') > 10 AND count_if(event_type = 'error') / count(*) > 0.2
 """)
-def route_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def error_prone_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = F.count_if(F.col("event_type") == "error")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(errors.alias("errors"), F.count("*").alias("total")).withColumn("rate", F.col("errors") / F.col("total")).filter("errors > 10 and rate > 0.2")
 
@@ -158,10 +158,10 @@ def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.dangling([("document_skill", doc.filter("skill_id is not null"), "skill_id", skill, "id"), ("star_skill", star, "skill_id", skill, "id"), ("summary_session", summ.filter("session_id is not null"), "session_id", entry, "session_id")])
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o = tables(spark, sf_dir, "customer", "orders")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return c.join(o.filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("nations_all_positive", """
@@ -414,10 +414,10 @@ def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("version_match", """
 SELECT v, r, ok FROM (VALUES ('15.2.1', '*', true), ('15.2.1', '>=15', true), ('14.9', '>=15', false), ('15.2.1', '15', true), ('15.2.1', '15.2', true), ('15.2.1', '15.3', false),
-  ('15.2.1', '<15.2', false), ('15.1.9', '<15.2', true), ('3.4.0', '2 || 3', true), ('4.0.0', '2 || 3', false), ('15.2.1', '>=15 <16', true), ('16.0.0', '>= 15 <16', false)) t(v, r, ok)
+  ('15.2.1', '<15.2', false), ('15.1.9', '<15.2', true), ('3.4.0', '2 || 3', true), ('4.0.0', '2 || 3', false), ('15.2.1', '>=15 <16', true), ('16.0.0', '>= 15 <16', false), ('v15.2', '^15', true), ('gpt4', '4', false)) t(v, r, ok)
 """)
 def version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("15.2.1", "*"), ("15.2.1", ">=15"), ("14.9", ">=15"), ("15.2.1", "15"), ("15.2.1", "15.2"), ("15.2.1", "15.3"), ("15.2.1", "<15.2"), ("15.1.9", "<15.2"), ("3.4.0", "2 || 3"), ("4.0.0", "2 || 3"), ("15.2.1", ">=15 <16"), ("16.0.0", ">= 15 <16")]
+    rows = [("15.2.1", "*"), ("15.2.1", ">=15"), ("14.9", ">=15"), ("15.2.1", "15"), ("15.2.1", "15.2"), ("15.2.1", "15.3"), ("15.2.1", "<15.2"), ("15.1.9", "<15.2"), ("3.4.0", "2 || 3"), ("4.0.0", "2 || 3"), ("15.2.1", ">=15 <16"), ("16.0.0", ">= 15 <16"), ("v15.2", "^15"), ("gpt4", "4")]
     return spark.createDataFrame(rows, "v string, r string").withColumn("ok", versions.in_range(F.col("v"), F.col("r")))
 
 
@@ -469,7 +469,7 @@ def risk_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", filters.first_tier(F.col("d"), _TIERS).alias("t")).select("id", "t.tier", F.array_join("t.reasons", ",").alias("reasons"))
 
 
-@query("secret_scan", r"SELECT doc_id, len(regexp_extract_all(text, 'ghp_[A-Za-z0-9]{36}')) + len(regexp_extract_all(text, 'sk-[A-Za-z0-9]{32,}')) + len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS hits FROM documents")
+@query("secret_scan", r"SELECT doc_id, len(regexp_extract_all(text, 'ghp_[A-Za-z0-9_]{20,}')) + len(regexp_extract_all(text, 'sk-[A-Za-z0-9]{20,}')) + len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) AS hits FROM documents")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", filters.secret_hits(F.col("text")).alias("hits"))
 
@@ -492,6 +492,240 @@ def matches_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.matches_with_lines(table(spark, sf_dir, "documents"), "doc_id", "text", "[A-Z][a-z]+ one ")
 
 
+@query("anchored_matches", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id AS id, n AS line, unnest(regexp_extract_all(line, '^## [^ ]+|\b\d+\. ')) AS evidence FROM l
+""")
+def anchored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.matches_with_lines(table(spark, sf_dir, "documents"), "doc_id", "text", r"(?m:^## [^ \n]+)|(?:\b\d+\. )")
+
+
+@query("first_matches", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+     m AS (SELECT doc_id, n, regexp_extract(line, '\b(?:check|the)\b') AS e FROM l WHERE regexp_matches(line, '\b(?:check|the)\b'))
+SELECT doc_id AS id, min(n) AS line, arg_min(e, n) AS evidence FROM m GROUP BY 1
+""")
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.matches_with_lines(table(spark, sf_dir, "documents"), "doc_id", "text", r"\b(?:check|the)\b", first_only=True)
+
+
+@query("unexcused_matches", r"""
+WITH m AS (SELECT doc_id, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 4) = 'one ')) AS i FROM documents WHERE contains(text, 'one '))
+SELECT doc_id AS id, length(left(text, i - 1)) - length(replace(left(text, i - 1), chr(10), '')) + 1 AS line, 'one ' AS evidence FROM m
+WHERE NOT contains(substr(text, greatest(1, i - 40), i - greatest(1, i - 40) + 44), 'draft')
+""")
+def unexcused_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.matches_without(table(spark, sf_dir, "documents"), "doc_id", "text", "one ", "draft", 40)
+
+
+@query("lacking_documents", r"""
+SELECT doc_id AS id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '(?m)^## ') THEN 'absent' ELSE 'broad' END AS why FROM documents
+WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^## ') OR regexp_matches(text, '\b(all|every)\b')
+""")
+def lacking_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.lacks(table(spark, sf_dir, "documents"), "doc_id", "text", "(?m)^## ", r"\b(all|every)\b")
+
+
+@query("outside_parentheses", r"""
+SELECT x, y FROM (VALUES ('a cache(b (c) d) e', 'a cache e'), ('cache(', 'cache('), ('no call (x)', 'no call (x)'), ('cache(1) and cache((2))!', 'cache and cache!')) t(x, y)
+""")
+def outside_parentheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("a cache(b (c) d) e",), ("cache(",), ("no call (x)",), ("cache(1) and cache((2))!",)], "x string")
+    return rows.withColumn("y", filters.outside_parentheses(F.col("x"), r"\bcache(?=\()"))
+
+
+@query("bundle_rows", "SELECT id, category FROM skill WHERE category IN ('law', 'music')")
+def bundle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, warning = filters.by_bundle(table(spark, sf_dir, "skill"), "category", {"minimal": ["law", "music"], "wide": ["sport"]}, "unheard-of")
+    assert warning
+    return rows.select("id", "category")
+
+
+@query("source_faults", r"""
+SELECT DISTINCT id, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(source || '/' || category, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+') THEN 'repo' END, CASE WHEN source NOT IN ('official', 'community', 'self') THEN 'kind' END], lambda x: x IS NOT NULL), ',') AS faults FROM skill
+""")
+def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill")
+    return s.select("id", F.array_join(filters.source_faults(F.concat("source", F.lit("/"), "category"), F.col("source")), ",").alias("faults")).distinct()
+
+
+@query("when_to_use", r"SELECT doc_id, coalesce(regexp_matches(text, '(?im)^##\s+(when to use|steps|use this)\b'), false) AS ok FROM documents")
+def when_to_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", filters.has_heading(F.col("text"), ["when to use", "steps", "use this"]).alias("ok"))
+
+
+@query("size_bands", "SELECT doc_id, CASE WHEN n_chars >= 900 THEN 'good' WHEN n_chars >= 500 THEN 'fair' ELSE 'poor' END AS band FROM documents")
+def size_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", filters.band(F.col("n_chars"), [(900, "good"), (500, "fair")], "poor").alias("band"))
+
+
+@query("known_share_only", """
+SELECT c_custkey, share FROM customer LEFT JOIN (SELECT o_custkey, count_if(o_orderpriority = '1-URGENT') / count(*) AS share FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE share < 0.2
+""")
+def known_share_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = tables(spark, sf_dir, "customer", "orders")
+    share = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count_if(F.col("o_orderpriority") == "1-URGENT") / F.count("*")).alias("share"))
+    return joins.with_optional(c.select("c_custkey"), share, "c_custkey", "share", F.col("share") < 0.2)
+
+
+@query("indexed_mentions", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS m, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM documents),
+     k AS (SELECT doc_id, m, min(pos) AS pos FROM w WHERE m IN (SELECT lower(trim(category, ' ')) FROM skill) GROUP BY doc_id, m), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM k)
+SELECT doc_id AS id, m AS mention, place FROM r WHERE place <= 3
+""")
+def indexed_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, s = tables(spark, sf_dir, "documents", "skill")
+    return joins.indexed_mentions(d, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), s.select(F.lower(F.trim("category")).alias("category")).dropna(), "category", 3)
+
+
+@query("rounded_summary", "SELECT count(v) AS count, round(sum(round(v, 2)), 2) AS total, max(round(v, 2)) AS worst FROM (SELECT l_quantity / 8 AS v FROM lineitem WHERE l_quantity > 45)")
+def rounded_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.rounded_summary(table(spark, sf_dir, "lineitem").filter("l_quantity > 45"), F.col("l_quantity").cast("double") / 8, 2)
+
+
+@query("risk_tally", """
+SELECT coalesce(category, '?') AS category, count_if(ok) AS passed, count_if(NOT ok) AS failed, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN NOT ok THEN risk END)))[1:20], ','), '') AS problems
+FROM (SELECT category, risk, coalesce(risk IN ('safe', 'none'), false) AS ok FROM skill) GROUP BY 1
+""")
+def risk_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill").withColumn("category", F.coalesce("category", F.lit("?")))
+    return agg.tally(s, "category", F.col("risk").isin("safe", "none"), F.col("risk")).withColumn("problems", F.array_join("problems", ","))
+
+
+@query("top_entries", """
+WITH b AS (SELECT skill_id, max(star_count) AS star_count FROM skill_star WHERE star_count IS NOT NULL GROUP BY 1) SELECT skill_id, star_count FROM b ORDER BY star_count DESC, skill_id LIMIT 25
+""")
+def top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill_star").filter("star_count is not null").select("skill_id", "star_count")
+    return catalogue.top_entries(s, "skill_id", [-F.col("star_count")], 25)
+
+
+@query("filled_ranking", """
+SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 2
+""")
+def filled_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("score", (F.col("o_orderpriority") == "1-URGENT").cast("int"))
+    return catalogue.ranked_with_fill(o, "o_custkey", "score", "o_orderkey", 2).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("group_states", """
+WITH l AS (SELECT event_type, arg_max(user_id, (ts, event_id)) AS u FROM events GROUP BY 1)
+SELECT g AS "group", CASE WHEN coalesce(bool_or(u % 2 = 0), false) THEN 'success' ELSE 'pending' END AS state
+FROM (VALUES ('a', 'click'), ('a', 'view'), ('b', 'error'), ('c', 'unseen')) t(g, n) LEFT JOIN l ON event_type = n GROUP BY 1
+""")
+def group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    latest = windows.latest_by(e, "event_type", F.struct("ts", "event_id"), ["user_id"]).withColumn("state", F.when(F.col("user_id") % 2 == 0, "success").otherwise("failure"))
+    return catalogue.state_of_groups(latest, "event_type", "state", {"a": ["click", "view"], "b": ["error"], "c": ["unseen"]})
+
+
+@query("joined_sections", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+     h AS (SELECT *, sum(CASE WHEN line LIKE '## %' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l WHERE line NOT LIKE '# %'),
+     g AS (SELECT *, coalesce(max(CASE WHEN line LIKE '## %' THEN lower(trim(substr(line, 4), ' ')) END) OVER (PARTITION BY doc_id, k), 'general') AS heading FROM h),
+     b AS (SELECT doc_id, heading, min(n) AS first, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS body FROM g WHERE line NOT LIKE '## %' GROUP BY ALL)
+SELECT doc_id, count(*) AS sections, string_agg(heading, ',' ORDER BY heading) AS headings FROM b WHERE body <> '' GROUP BY 1
+""")
+def joined_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", text.joined_sections(F.col("text")).alias("s")).filter("size(s) > 0")
+    return d.select("doc_id", F.size("s").cast("long").alias("sections"), F.array_join(F.array_sort(F.transform("s", lambda x: x["heading"])), ",").alias("headings"))
+
+
+@query("front_matter_lists", """
+SELECT n, tags FROM (VALUES (1, 'a,b c'), (2, 'x,y'), (3, NULL)) t(n, tags)
+""")
+def front_matter_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, '---\nname: q\ntags: [a, "b c"]\n---\nbody'), (2, "---\ntags:\n  - x\n  - 'y'\nname: z\n---\n"), (3, "no matter\ntags: [a]")]
+    return spark.createDataFrame(rows, "n int, t string").select("n", F.array_join(F.element_at(text.front_matter_lists(F.col("t")), "tags"), ",").alias("tags"))
+
+
+@query("dumped_front_matter", "SELECT DISTINCT id, name, coalesce(risk, '') AS risk FROM skill WHERE name IS NOT NULL AND NOT contains(name, chr(34)) AND NOT contains(coalesce(risk, ''), chr(34))")
+def dumped_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is dumped reads back the same."""
+    s = table(spark, sf_dir, "skill").filter("name is not null and not contains(name, '\"') and not contains(coalesce(risk, ''), '\"')")
+    doc = text.dump_front_matter(F.create_map(F.lit("name"), F.col("name"), F.lit("risk"), F.coalesce("risk", F.lit(""))), F.col("description"))
+    m = text.front_matter(doc)
+    return s.select("id", F.element_at(m, "name").alias("name"), F.element_at(m, "risk").alias("risk")).distinct()
+
+
+@query("fresh_readings", "SELECT skill_id, synced_at, synced_at > TIMESTAMP '2026-06-01' - INTERVAL 24 HOUR AS fresh FROM skill_star WHERE synced_at <= TIMESTAMP '2026-06-01'")
+def fresh_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "skill_star").filter("synced_at <= timestamp_ntz'2026-06-01'")
+    return s.select("skill_id", "synced_at", text.fresh(F.col("synced_at").cast("timestamp"), F.lit("2026-06-01").cast("timestamp"), 24).alias("fresh"))
+
+
+@query("json_defaults", "SELECT n, v FROM (VALUES (1, 'x'), (2, 'none'), (3, 'none'), (4, '0')) t(n, v)")
+def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, '{"a": "x"}'), (2, '{"a": null}'), (3, '{"a": false}'), (4, '{"a": 0}')], "n int, j string")
+    return rows.select("n", text.json_default(F.col("j"), "$.a", "none").alias("v"))
+
+
+@query("stale_stamps", """
+SELECT n, s FROM (VALUES (1, '2024-01'), (2, NULL), (3, '2023-05,2020-12')) t(n, s)
+""")
+def stale_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "Verified 2024-01 and 2025-11"), (2, "dated 2020-01\nlast verified: 2025-12"), (3, "verified 2023-05\nnone\n(verified: 2020-12)")], "n int, t string")
+    return rows.select("n", F.nullif(F.array_join(dates.stale_stamps(F.col("t"), 2026, 1, 6), ","), F.lit("")).alias("s"))
+
+
+@query("date_ranges", "SELECT DISTINCT CAST(ts AS DATE) - 30 AS first, CAST(ts AS DATE) AS last FROM events")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(dates.date_range(F.col("ts"), 30).alias("r")).select("r.*").distinct()
+
+
+@query("plain_links", r"""
+SELECT n, t, dangling FROM (VALUES (1, 'see [a](here.md) and b and c', 2), (2, '[x](https://e.example/gone.md)', 0), (3, 'no link', 0)) v(n, t, dangling)
+""")
+def plain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.createDataFrame([(1, "see [a](here.md) and [b](gone.md) and [c](../far/gone.md)"), (2, "[x](https://e.example/gone.md)"), (3, "no link")], "n int, t string")
+    return rewrites.plain_links(docs, "n", "t", spark.createDataFrame([("here.md",)], "p string"), "p").select(F.col("id").alias("n"), F.col("text").alias("t"), "dangling")
+
+
+@query("replaced_years", "SELECT doc_id, regexp_replace(text, '\\b2025\\b', '2026', 'g') AS text, NOT coalesce(regexp_matches(text, '\\b2025\\b'), false) AS missing FROM documents")
+def replaced_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", rewrites.replace_or_warn(F.col("text"), r"\b2025\b", "2026").alias("r")).select("doc_id", "r.*")
+
+
+@query("newest_model", "SELECT 'opal-4.10' AS model")
+def newest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("opal-4.9",), ("opal-4.10",), ("gpt4-1.2",), ("opal-3",), ("other-9",)], "model string")
+    return catalogue.newest(rows, "model", "^opal-")
+
+
+@query("untranslated_terms", "SELECT n, missing, ok FROM (VALUES (1, '', true), (2, 'b', false), (3, '', false)) t(n, missing, ok)")
+def untranslated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, {"a": "x"}, 1), (2, {"a": "x", "b": " "}, 2), (3, {"a": "x"}, 2)], "n int, terms map<string,string>, total int")
+    return catalogue.untranslated(rows, "terms", "total").select("n", F.array_join("missing", ",").alias("missing"), "ok")
+
+
+@query("undeclared_packages", "SELECT n, u FROM (VALUES (1, '@s/p,left-pad'), (2, ''), (3, '')) t(n, u)")
+def undeclared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = "```js\nimport x from '@s/p/sub'\nimport fs from 'fs'\nconst l = require('left-pad')\nimport z from 'zod'\nimport './own'\n```"
+    rows = spark.createDataFrame([(1, code, ["zod"]), (2, "import prose from 'prose'", None), (3, None, ["a"])], "n int, t string, d array<string>")
+    return rewrites.undeclared(rows, "t", "d").select("n", F.coalesce(F.array_join("undeclared", ","), F.lit("")).alias("u"))
+
+
+@query("snippet_checks", r"""
+SELECT doc_id AS page, s AS snippet, e AS expected, coalesce(contains(text, s), false) = e AS ok FROM documents, (VALUES ('## ', true), ('never', false)) t(s, e)
+""")
+def snippet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rules = d.select(F.col("doc_id").alias("page"), F.explode(F.array(F.struct(F.lit("## ").alias("snippet"), F.lit(True).alias("expected")), F.struct(F.lit("never").alias("snippet"), F.lit(False).alias("expected")))).alias("r")).select("page", "r.*")
+    return rewrites.snippet_checks(d, "doc_id", "text", rules)
+
+
+@query("framework_rules", "SELECT f, v, r, ok FROM (VALUES ('next', '15.1', 'next@>=14 // nuxt@*', true), ('next', '13.0', 'next@>=14 // nuxt@*', false), ('nuxt', '3', 'next@>=14 // nuxt@*', true), ('vite', '5.0', '5', true)) t(f, v, r, ok)")
+def framework_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("next", "15.1", "next@>=14 // nuxt@*"), ("next", "13.0", "next@>=14 // nuxt@*"), ("nuxt", "3", "next@>=14 // nuxt@*"), ("vite", "5.0", "5")], "f string, v string, r string")
+    return rows.withColumn("ok", versions.framework_fits(F.col("f"), F.col("v"), F.col("r")))
+
+
+@query("secret_positives", "SELECT n, hits FROM (VALUES (1, 2), (2, 1), (3, 0), (4, 0)) t(n, hits)")
+def secret_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [(1, "ghp_" + "a1_" * 8 + " and AKIA" + "Q7" * 8), (2, "sk-" + "Z9" * 10), (3, "ghp_short sk-tiny AKIA12"), (4, None)]
+    return spark.createDataFrame(made, "n int, t string").select("n", F.coalesce(filters.secret_hits(F.col("t")), F.lit(0)).alias("hits"))
+
+
 @query("heading_without_list", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
 SELECT a.doc_id AS id, a.n AS line FROM l a WHERE regexp_matches(a.line, '^## ') AND NOT EXISTS (SELECT 1 FROM l b WHERE b.doc_id = a.doc_id AND b.n BETWEEN a.n - 2 AND a.n + 4 AND regexp_matches(b.line, '^(- |\d+\. )'))

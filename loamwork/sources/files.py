@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamwork.plans.durable import cut
+
 
 def inside(path: str, root: str) -> bool:
     """Whether a path, links resolved, lies in the root."""
@@ -30,27 +32,34 @@ def regular_files(root: str, name: str | None = None) -> list[str]:
 
 def read_documents(spark: SparkSession, root: str, name: str = "SKILL.md") -> DataFrame:
     """``(id, path, content)`` of all files of a name below a root, hidden folders left out; the identifier is the folder below the root."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(F.regexp_replace("_metadata.file_path", r"^file:/*", "/").alias("path"), F.col("value").alias("content"))
+    local = os.path.isdir(root)
+    # links are left out where the root is a local folder; other file systems have none
+    files = regular_files(root, name) if local else [root]
+    if not files:
+        return spark.createDataFrame([], "id string, path string, content string")
+    raw = (spark.read.text(files, wholetext=True) if local else spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)).select(F.regexp_replace("_metadata.file_path", r"^file:/*", "/").alias("path"), F.col("value").alias("content"))
     base = os.path.abspath(root).rstrip("/") + "/"
     below = F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.col("path"))
     return raw.withColumn("below", below).filter(~F.col("below").rlike(r"(^|/)\.[^/]")).select(F.regexp_replace("below", r"/?[^/]*$", "").alias("id"), "path", "content")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a file that holds one JSON array; anything but an array gives no rows."""
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
+    """Rows of a file that holds one JSON array; anything but an array gives no rows, or with ``strict`` is an error."""
     raw = spark.read.text(path, wholetext=True)
     kind = schema if isinstance(schema, str) else schema.simpleString()[7:-1]
+    if strict and raw.filter(F.ltrim("value").startswith("[") & F.try_parse_json("value").isNotNull()).isEmpty():
+        raise ValueError(f"{path} holds no JSON array")
     return raw.filter(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<struct<{kind}>>" if isinstance(schema, str) else T.ArrayType(schema))).alias("r")).filter("r is not null").select("r.*")
 
 
 def first_valid(attempts: list[Callable[[], DataFrame]]) -> DataFrame:
-    """The first source that can be read and has a row; the last error is raised if there is none."""
+    """The first source that can be read, be it empty; the last error is raised if there is none."""
     last: Exception = ValueError("no source given")
     for attempt in attempts:
         try:
             df = attempt()
-            if not df.isEmpty():
-                return df
+            df.isEmpty()  # reading it is the test
+            return df
         except Exception as e:  # noqa: BLE001 - any unreadable source leads to the next
             last = e
     raise last
@@ -158,7 +167,8 @@ def lineage_edges(df: DataFrame, sql: str) -> DataFrame:
 
 def push_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     """Adds ``batch``: rows in order, ``size`` to a batch, numbered without gathering them in one task."""
-    ids = df.orderBy(order).select("*", F.monotonically_increasing_id().alias("_m")).withColumn("_p", F.shiftright("_m", 33))
+    # written once, so that counts and numbers are of the same ranges
+    ids = cut(df.orderBy(order).select("*", F.monotonically_increasing_id().alias("_m")).withColumn("_p", F.shiftright("_m", 33)))
     counts = {r["_p"]: r["count"] for r in ids.groupBy("_p").count().collect()}
     start, at = {}, 0
     for p in sorted(counts):

@@ -138,7 +138,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"id": "a", "n": 1}, {"id": "b"}]))
     (tmp_path / "bad.json").write_text("<html>")
     assert [tuple(r) for r in files.read_json_array(spark, str(tmp_path / "m.json"), "id: string, n: int").collect()] == [("a", 1), ("b", None)]
-    got = files.first_valid([lambda: files.read_json_array(spark, str(tmp_path / "none.json"), "id: string"), lambda: files.read_json_array(spark, str(tmp_path / "bad.json"), "id: string"), lambda: files.read_json_array(spark, str(tmp_path / "m.json"), "id: string")])
+    got = files.first_valid([lambda: files.read_json_array(spark, str(tmp_path / "none.json"), "id: string", strict=True), lambda: files.read_json_array(spark, str(tmp_path / "bad.json"), "id: string", strict=True), lambda: files.read_json_array(spark, str(tmp_path / "m.json"), "id: string")])
     assert got.count() == 2
     log = str(tmp_path / "log")
     files.append_log(spark.createDataFrame([("x", 1)], "action string, n int"), log)
