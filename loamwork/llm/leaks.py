@@ -25,8 +25,8 @@ MISS = 1e-6
 BLOCK = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20_240_601)
-_MULT = _RNG.integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
+_MULT = _RNG.integers(1, 1 << 62, 1_024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, 1_024, dtype=np.uint64)
 
 
 def words(text: str) -> list[str]:
@@ -71,7 +71,10 @@ def minhashes(sh: np.ndarray, k: int) -> np.ndarray:
 def bands(q: int, u: int, miss: float = MISS) -> int:
     """MinHash values needed so that a set of ``u`` shingles with ``q`` of the query's is missed with chance ``miss``."""
     j = q / max(u, q)
-    return 1 if j >= 1 else min(len(_MULT), math.ceil(math.log(miss) / math.log(1 - j)))
+    need = 1 if j >= 1 else math.ceil(math.log(miss) / math.log(1 - j))
+    if need > len(_MULT):
+        raise ValueError(f"{need} MinHash values are needed for passages of {q} shingles, {len(_MULT)} are there: take shorter shingles")
+    return need
 
 
 class _Index:

@@ -1,9 +1,9 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-Look-alike classes are the union-find closure, over code points and strings, of: wide and narrow forms, joined
-letters, characters with their decompositions, kinds of blank, and look-alike letters of Latin, Greek and
-Cyrillic; characters that show nothing belong to the empty string. The most frequent member of a class in the
-corpus stands for it, and a multi-pattern automaton rewrites every text greedily, longest member first.
+A text is first taken apart into base characters and marks in canonical order (so joined and separate accents, Hangul syllables and letters beyond the basic
+plane agree, in whatever order marks were typed). Look-alike classes are the union-find closure, over code points and strings, of: wide and narrow forms,
+joined letters, kinds of blank, and look-alike letters of Latin, Greek and Cyrillic; characters that show nothing belong to the empty string. The most frequent
+member of a class in the corpus stands for it; a multi-pattern automaton rewrites every text greedily, longest member first, and marks are joined again.
 """
 
 from __future__ import annotations
@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 
 from loamwork.plans.durable import cut
 
-#: Letters that look alike, each group Latin first, then Greek, then Cyrillic and others of these scripts.
+#: Letters that look alike, each group Latin first, then Greek, then Cyrillic and others of these scripts; capitals, then small letters.
 LETTERS = (
-    "AΑА", "BΒВ", "CСϹ", "EΕЕ", "HΗН", "IΙІӀ", "JЈͿ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "QԚ", "SЅ", "TΤТ", "WԜ", "XΧХ", "YΥҮ", "ZΖ", "GԌ", "FϜ",
-    "aа", "cсϲ", "dԁ", "eе", "hһ", "iі", "jјϳ", "lӏ", "oοо", "pр", "qԛ", "sѕ", "vνѵ", "wԝ", "xх", "yу", "uυ", "ΓГ", "ΛЛ", "ΠП", "ΦФ", "κк", "ɑα", "ρр", "χх", "γу", "ιі",
+    "AΑА", "BΒВ", "CСϹ", "EΕЕ", "FϜ", "GԌ", "HΗН", "IΙІӀ", "JЈͿ", "KΚК", "MΜМϺ", "NΝ", "OΟО", "PΡР", "QԚ", "SЅ", "TΤТ", "VѴ", "WԜ", "XΧХ", "YΥҮ", "ZΖ", "ÆӔ", "ƏӘ", "ƟӨ", "ƷӠ", "ÞϷ", "ΓГ", "ΠП", "ΦФ",
+    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "lӏ", "oοо", "pр", "qԛ", "sѕ", "uυ", "vνѵ", "wԝ", "xх", "yу", "æӕ", "əә", "ɵө", "ʒӡ", "þϸ", "ĸκк",
 )
-#: Pairs of the groups above that are alike only roughly and so are left apart.
-_ROUGH = {"ρр", "χх", "γу", "ιі", "ɑα", "ΛЛ"}
 #: Blanks besides the space separators of Unicode.
 BLANKS = "⠀ㅤᅟᅠﾠ"
 #: Characters that show nothing besides the format characters of Unicode.
@@ -73,33 +71,18 @@ def look_alike_classes() -> dict[str, list[str]]:
     """Members by class, from the Unicode tables and ``LETTERS``; no class holds the empty string."""
     c = _Classes()
     for group in LETTERS:
-        if group not in _ROUGH:
-            for other in group[1:]:
-                c.tie(group[0], other)
+        for other in group[1:]:
+            c.tie(group[0], other)
     for x in [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Zs"] + list(BLANKS):
         c.tie(" ", x)
-    composed = []
-    for i in itertools.chain(range(0x80, 0xAC00), range(0xD7A4, 0xD800), range(0xF900, 0x1_0000)):
-        x, parts = chr(i), unicodedata.decomposition(chr(i))
+    for x in map(chr, itertools.chain(range(0x80, 0xD800), range(0xE000, sys.maxunicode + 1))):
+        parts = unicodedata.decomposition(x)
         kind = parts.split(" ", 1)[0] if parts.startswith("<") else ""
         if kind in ("<wide>", "<narrow>"):
             if not unicodedata.category(x).startswith("Z"):
-                c.tie(x, unicodedata.normalize("NFKC", x))
+                c.tie(x, unicodedata.normalize("NFKD", x))
         elif kind == "<compat>" and unicodedata.category(x)[0] == "L" and unicodedata.normalize("NFKC", x).isalpha():
-            c.tie(x, unicodedata.normalize("NFKC", x))  # joined letters
-        elif parts and not kind:
-            composed.append(x)
-    alike: dict[str, list[str]] = {}
-    for group in c.members().values():
-        for m in group:
-            alike[m] = group
-    for x in composed:
-        full = unicodedata.normalize("NFD", x)
-        c.tie(x, full)
-        for base in alike.get(full[0], [full[0]]):
-            c.tie(x, base + full[1:])
-            for cut in range(2, len(full)):  # part of the marks joined already
-                c.tie(x, unicodedata.normalize("NFC", base + full[1:cut]) + full[cut:])
+            c.tie(x, unicodedata.normalize("NFKD", x))  # joined letters
     return {k: v for k, v in c.members().items() if "" not in v}
 
 
@@ -108,6 +91,11 @@ def _ascii_strings() -> tuple[str, ...]:
     return tuple(m for v in look_alike_classes().values() for m in v if m.isascii() and len(m) > 1)
 
 
+def taken_apart(t: str) -> str:
+    """Base characters and marks, the marks in canonical order."""
+    return t if t.isascii() else unicodedata.normalize("NFD", t)
+
+
 def _sign(m: str) -> str:
     """A character that every text with the member ``m`` holds: its rarest kind, a mark before other letters than ASCII."""
     return next((c for c in m if unicodedata.category(c)[0] == "M"), None) or next((c for c in reversed(m) if not c.isascii()), m[0])
@@ -142,7 +130,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         held, size = [], 0
-        for t in b.column(0).to_pylist():
+        for t in map(taken_apart, b.column(0).to_pylist()):
             held.append(t)
             size += len(t)
             if size > 500_000:
@@ -151,7 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m in _ascii_strings():
                 if n := t.count(m):
                     seen[m] = seen.get(m, 0) + n
-            if not t.isascii() and signs.search(t):
+            if signs is not None and not t.isascii() and signs.search(t):
                 for _, (_, m) in find.iter(t):
                     seen[m] = seen.get(m, 0) + 1
         points("".join(held))
@@ -191,13 +179,16 @@ class Rewriter:
         t = self.drop.sub("", t)
         if self.far.search(t):
             t = self.drop_far.sub("", t)
-        if self.any is None or not self.any.search(t):
-            return t
-        out, at = [], 0
-        for end, (length, rep) in self.find.iter_long(t):
-            out += [t[at : end - length + 1], rep]
-            at = end + 1
-        return "".join([*out, t[at:]])
+        if self.any is not None:
+            # a mark hides no look-alike letter: in the joined form of a text its base would not be met
+            t = taken_apart(t)
+            if self.any.search(t):
+                out, at = [], 0
+                for end, (length, rep) in self.find.iter_long(t):
+                    out += [t[at : end - length + 1], rep]
+                    at = end + 1
+                t = "".join([*out, t[at:]])
+        return unicodedata.normalize("NFC", t)
 
 
 def _rewrite(reps: dict[str, str], digest: bool):
@@ -223,22 +214,41 @@ def canonical_texts(df: DataFrame, ident: str, text: str, *, digest: bool = Fals
     is. A null text keeps a null form, an empty one stays empty; other columns are ignored. Case, wording, punctuation,
     digits, and accents present or absent stay as they are.
     """
+    return rewritten(df, ident, text, representatives(df, text), digest=digest)
+
+
+def rewritten(df: DataFrame, ident: str, text: str, reps: dict[str, str], *, digest: bool = False) -> DataFrame:
+    """As ``canonical_texts``, by representatives that are known."""
     kind = df.schema[ident].dataType.simpleString()
-    reps = representatives(df, text)
     rows = df.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("t"))
     out = rows.mapInArrow(_rewrite(reps, digest), f"__id {kind}, form " + ("binary, raw binary" if digest else "string"))
     return out.withColumnRenamed("__id", ident)
 
 
-def look_alike_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """``(a, b)``, the smaller first: rows whose texts differ in characters but look the same.
+def look_alike_groups(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """``(ident, same, group, texts)`` of the rows that look like another row but consist of other characters.
 
-    Rows with identical texts are no pair. Only classes with at least two different texts are joined, so copies of one
-    text never meet each other. Null texts and null identifiers take no part.
+    ``same`` is the least identifier with identical text, ``group`` the least one that looks the same, ``texts`` the number of different
+    texts in the group: membership by representatives, one row a row, so no copies are joined with each other. Null texts and null identifiers take no part.
     """
     forms = canonical_texts(df.filter(F.col(f"`{ident}`").isNotNull() & F.col(f"`{text}`").isNotNull()), ident, text, digest=True).withColumnRenamed(ident, "id")
     forms = cut(forms)
-    mixed = forms.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("form")
-    some = cut(forms.join(mixed, "form", "left_semi"))
-    a, b = some.select("form", F.col("id").alias("a"), F.col("raw").alias("ra")), some.select("form", F.col("id").alias("b"), F.col("raw").alias("rb"))
-    return a.join(b, "form").filter("ra <> rb and a < b").select("a", "b").distinct()
+    texts = forms.groupBy("form", "raw").agg(F.min("id").alias("same"))
+    groups = cut(texts.groupBy("form").agg(F.min("same").alias("group"), F.count("*").alias("texts")).filter("texts > 1"))
+    some = cut(forms.join(groups, "form"))
+    own = some.groupBy("form", "raw").agg(F.min("id").alias("same"))
+    return some.join(own, ["form", "raw"]).select(F.col("id").alias(ident), "same", "group", "texts").distinct()
+
+
+def look_alike_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """``(a, b)``, the smaller first: rows whose texts differ in characters but look the same.
+
+    Different texts of a group meet by their representatives, then each side's copies are added: identical texts never meet, and what is joined is what
+    comes out. Null texts and null identifiers take no part.
+    """
+    members = cut(look_alike_groups(df, ident, text).withColumnRenamed(ident, "id"))
+    reps = members.filter("id = same").select("group", "same")
+    links = reps.withColumnRenamed("same", "x").join(reps.withColumnRenamed("same", "y"), "group").filter("x < y").select("x", "y")
+    sides = [members.select(F.col("same").alias(k), F.col("id").alias(n)) for k, n in (("x", "ida"), ("y", "idb"))]
+    pairs = links.join(sides[0], "x").join(sides[1], "y")
+    return pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()

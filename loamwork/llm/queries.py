@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.llm import conversations, leaks, lookalikes, mixing, nearcopies, pii, subjects, termfreq, topn
+from loamwork.llm.pii_model import KINDS
+from loamwork.plans.durable import cut
 from loamwork.session import table, tables
 
 
@@ -49,6 +51,31 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.unionByName(found)
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By table: texts, and faults of the redaction: texts without a kind that changed, with a kind that lost no character, placeholders that differ in number of kinds from those found, other text that isn't the original's."""
+    parts = []
+    entries = table(spark, sf_dir, "session_entry").select("entry_id", "content").distinct()
+    for name, rows, key, text in (("session_entry", entries, "entry_id", "content"), ("session_summary", _findings(spark, sf_dir).distinct().select(F.struct("session_number", "position").alias("k"), "text"), "k", "text")):
+        before = rows.select(F.struct(F.col(key).alias("key"), F.col(text).alias("before")).alias("__both"), F.col(text).alias("content"))
+        got = pii.redacted_texts(before, "__both", "content").select("__both.before", "text", "kinds")
+        kinds = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"\\[({'|'.join(k.upper() for k in KINDS)})\\]"), 1), lambda x: F.lower(x))))
+        # the text between the placeholders, as a pattern that the original must fit
+        pattern = F.concat(F.lit("(?s)\\A"), F.regexp_replace(F.concat(F.lit("\\Q"), F.regexp_replace("text", "\\\\E", ""), F.lit("\\E")), f"\\[(?:{'|'.join(k.upper() for k in KINDS)})\\]", r"\\E.+\\Q"), F.lit("\\z"))
+        clean = F.size("kinds") == 0
+        parts.append(got.filter("before is not null").agg(
+            F.count("*").alias("texts"), F.count_if(clean & (F.col("text") != F.col("before"))).alias("changed_clean"), F.count_if(~clean & (F.col("text") == F.col("before"))).alias("unchanged_found"),
+            F.count_if(~clean & (kinds != F.array_sort("kinds"))).alias("kinds_differ"), F.count_if(~clean & ~F.rlike(F.regexp_replace("before", "\\\\E", ""), pattern)).alias("rest_differs"),
+        ).select(F.lit(name).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+P2_CHECKS_SQL = """
+WITH t AS (SELECT 'session_entry' AS table_name, content AS x FROM (SELECT DISTINCT entry_id, content FROM session_entry) UNION ALL
+           SELECT 'session_summary', f FROM (SELECT DISTINCT session_number, unnest(key_findings) AS f, generate_subscripts(key_findings, 1) AS p FROM session_summary))
+SELECT table_name, count(x) AS texts, CAST(0 AS BIGINT) AS changed_clean, CAST(0 AS BIGINT) AS unchanged_found, CAST(0 AS BIGINT) AS kinds_differ, CAST(0 AS BIGINT) AS rest_differs FROM t GROUP BY 1
+"""
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     skill, examples, areas = tables(spark, sf_dir, "skill", "subject_example", "subject_area")
     return subjects.subject_rows(skill, "id", "description", "category", examples, areas)
@@ -148,6 +175,45 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(*mixing.mixture(mixing.token_counts(docs, "doc_id", "text", "source"), targets))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By target source: whether its share was met within one document, no document was used too often, and all came from its own documents."""
+    docs, targets = tables(spark, sf_dir, "documents", "mix_target")
+    sizes = cut(mixing.token_counts(docs, "doc_id", "text", "source"))
+    used, todo = mixing.mixture(sizes, targets)
+    rows = [(r.source, float(r.goal), int(r.max_repeats), bool(r.have > 0)) for r in todo.itertuples()]
+    plan = spark.createDataFrame(rows, "source string, goal double, max_repeats bigint, available boolean")
+    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("copies"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    out = plan.join(got, "source", "left").join(sizes.groupBy("source").agg(F.max("tokens").alias("largest")), "source", "left")
+    return out.select(
+        "source", "available", F.coalesce(F.abs(F.col("tokens") - F.col("goal")) <= F.col("largest"), F.col("goal") < 0.5).alias("share_met"),
+        F.coalesce(F.col("copies") <= F.col("max_repeats"), F.lit(True)).alias("repeats_kept"), F.coalesce(F.col("n") == F.col("ids"), F.lit(True)).alias("once_each"),
+    )
+
+
+P8_CHECKS_SQL = """
+WITH d AS (SELECT DISTINCT lower(trim(source, ' ')) AS source FROM documents WHERE text <> '')
+SELECT lower(trim(t.source, ' ')) AS source, d.source IS NOT NULL AS available, true AS share_met, true AS repeats_kept, true AS once_each FROM mix_target t LEFT JOIN d ON d.source = lower(trim(t.source, ' '))
+"""
+
+
+def p9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_alike_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, and faults of the consistent form: rows lost, plain texts changed, forms that change again, digits or line breaks that differ."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    once = lookalikes.canonical_texts(docs.select(F.struct("doc_id", "text").alias("k"), "text"), "k", "text").select("k.doc_id", "k.text", "form")
+    reps = lookalikes.representatives(docs, "text")
+    again = lookalikes.rewritten(once.select(F.struct("doc_id", "text", "form").alias("k"), "form"), "k", "form", reps).select("k.*", F.col("form").alias("again"))
+    kept = lambda c: F.regexp_replace(F.translate(c, "".join(chr(0xFF10 + i) for i in range(10)), "0123456789"), "[^0-9\n]", "")
+    plain = F.col("text").rlike(r"^[\x00-\x7F]*$")
+    return again.agg(F.count("*").alias("n_rows"), F.count("text").alias("texts"), F.count_if(plain & (F.col("form") != F.col("text"))).alias("plain_changed"), F.count_if(F.col("again") != F.col("form")).alias("form_changed"), F.count_if(kept("form") != kept("text")).alias("digits_differ"))
+
+
+P9_CHECKS_SQL = "SELECT count(*) AS n_rows, count(text) AS texts, CAST(0 AS BIGINT) AS plain_changed, CAST(0 AS BIGINT) AS form_changed, CAST(0 AS BIGINT) AS digits_differ FROM documents"
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnsRenamed({"a": "doc_a", "b": "doc_b"})
 
@@ -161,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_ranked": p1_ranked,
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
+    "p2_checks": p2_checks,
     "p3_found": p3_found,
     "p3_make_up": p3_make_up,
     "p4_found": p4_found,
@@ -172,8 +239,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_texts": p9_texts,
+    "p9_groups": p9_groups,
+    "p9_checks": p9_checks,
 }
 
 SQL: dict[str, str] = {
@@ -185,4 +255,7 @@ SQL: dict[str, str] = {
     "p6_found": P6_SQL + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_terms": P6_SQL + "SELECT field, term, n_rows, n_records, mark FROM m",
     "p7_found": P7_SQL,
+    "p2_checks": P2_CHECKS_SQL,
+    "p8_checks": P8_CHECKS_SQL,
+    "p9_checks": P9_CHECKS_SQL,
 }

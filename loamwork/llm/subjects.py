@@ -29,8 +29,8 @@ BOUND = 0.45
 MENTIONS = 2
 #: Loss of F1 on the labelled rows up to which retrained models are taken.
 SLACK = 0.01
-#: Labelled rows used at most, and n-grams kept at most by a trained model (the strongest ones).
-LABELLED, NGRAMS = 20_000, 100_000
+#: Labelled rows used at most: a hash sample over all subjects. Share of all tokens below which an n-gram is no evidence, so that a model has at most 2 / RARE of them.
+LABELLED, RARE = 20_000, 1e-6
 _CLAUSE = r"[.;!?:\n。；]+(?:\s+|$)|,\s+then\s+"
 _TOKEN = r"[\p{L}\p{N}]+"
 _SPLIT, _WORDS = re.compile(_CLAUSE), re.compile(r"[^\W_]+")
@@ -48,7 +48,7 @@ class SubjectModel:
     subjects: list[str]
     word: dict[str, np.ndarray]
     pair: dict[tuple[str, str], np.ndarray]
-    margin: float = 1.0
+    margin: np.ndarray | float = 1.0
 
     def clause(self, words: list[str]) -> np.ndarray:
         """Summed log ratio of a clause for each subject; words without entry are as likely under every model."""
@@ -63,13 +63,16 @@ class SubjectModel:
             i += step
         return total
 
+    def _margins(self) -> np.ndarray:
+        return np.broadcast_to(self.margin, len(self.subjects))
+
     def mentions(self, text: str) -> Counter:
         out: Counter = Counter()
         for words in clauses(text):
             gain = self.clause(words)
             best = int(gain.argmax())
             # cross-entropy gained by the clause as a whole; per word it depends on how long the rest is
-            if gain[best] >= self.margin:
+            if gain[best] >= self._margins()[best]:
                 out[self.subjects[best]] += 1
         return out
 
@@ -126,36 +129,62 @@ def _background(texts: DataFrame, words: list[str], pairs: list[tuple[str, str]]
     clause = texts.select(F.explode(F.split(F.lower("text"), _CLAUSE)).alias("c")).select(F.regexp_extract_all("c", F.lit(f"({_TOKEN})")).alias("w")).filter(F.size("w") > 0)
     grams = clause.select(F.explode(F.concat(F.col("w"), F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)))).alias("g"))
     wanted = spark.createDataFrame(pd.DataFrame({"g": [*words, *(" ".join(p) for p in pairs)]}), "g string")
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
-    got = {r["g"]: r["n"] for r in counts.join(F.broadcast(wanted), "g", "left_semi").collect()}
+    # the wanted n-grams are those of the bounded labelled sample; all others are dropped before anything is shuffled
+    got = {r["g"]: r["n"] for r in grams.join(F.broadcast(wanted), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n")).collect()}
     total = clause.agg(F.sum(F.size("w"))).first()[0] or 1
     return Counter({w: got.get(w, 0) for w in words}), Counter({p: got.get(" ".join(p), 0) for p in pairs}), float(total)
 
 
-def _f1(model: SubjectModel, examples: list[tuple[str, str]], margin: float) -> float:
+def _scores(model: SubjectModel, examples: list[tuple[str, str]]) -> list[tuple[str, list[tuple[int, float]]]]:
+    """For each labelled text the best subject of every clause and its gain over the background."""
+    return [(s, [(int(g.argmax()), float(g.max())) for g in (model.clause(w) for w in clauses(t))]) for s, t in examples]
+
+
+def _f1(model: SubjectModel, scores: list, margin, only: str | None = None) -> float:
+    """F1 of the labels at a margin, over all subjects or ``only`` one."""
     tp = fp = fn = 0
-    for s, t in examples:
-        n = Counter(int(g.argmax()) for g in (model.clause(w) for w in clauses(t)) if g.max() >= margin)
+    margin = np.broadcast_to(margin, len(model.subjects))
+    for s, gains in scores:
+        n = Counter(k for k, g in gains if g >= margin[k])
         got = {model.subjects[k] for k, c in n.items() if c >= MENTIONS}
-        tp, fp, fn = tp + (s in got), fp + len(got - {s}), fn + (s not in got)
+        want = {s}
+        if only is not None:
+            got, want = got & {only}, want & {only}
+        tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
     return 2 * tp / max(1, 2 * tp + fp + fn)
 
 
-def _calibrate(model: SubjectModel, examples: list[tuple[str, str]]) -> float:
-    """The margin with the best F1 on labelled texts, in the middle of the best range."""
-    scores = [(_f1(model, examples, margin), margin) for margin in np.arange(0.5, 2.51, 0.1)]
-    best = max(f for f, _ in scores)
-    good = [m for f, m in scores if f >= best - 0.002]
-    return float(good[len(good) // 2])
+def _calibrate(model: SubjectModel, examples: list[tuple[str, str]]) -> np.ndarray:
+    """Acceptance margin of each subject: the one for all subjects with the best F1 on labelled texts, in the middle of the best range; a subject
+    that does clearly better at another margin gets its own."""
+    scores, steps = _scores(model, examples), np.arange(0.5, 2.51, 0.1)
+
+    def best(only: str | None) -> tuple[float, float]:
+        got = [(_f1(model, scores, m, only), m) for m in steps]
+        top = max(f for f, _ in got)
+        good = [m for f, m in got if f >= top - 0.002]
+        return top, float(good[len(good) // 2])
+
+    _, shared = best(None)
+    out = np.full(len(model.subjects), shared)
+    for k, s in enumerate(model.subjects):
+        top, own = best(s)
+        if top > _f1(model, scores, shared, s) + SLACK:
+            out[k] = own
+    return out
 
 
-def train(texts: DataFrame, examples: DataFrame, areas: DataFrame, *, labelled: int = LABELLED, ngrams: int = NGRAMS, rounds: int = 1) -> SubjectModel:
-    """Fit on at most ``labelled`` rows ``(subject, text)`` and scope notes, with counts over all of ``texts (text)``.
+def train(texts: DataFrame, examples: DataFrame, areas: DataFrame, *, labelled: int = LABELLED, rare: float = RARE, rounds: int = 1) -> SubjectModel:
+    """Fit on about ``labelled`` rows ``(subject, text)`` at most and scope notes, with counts over all of ``texts (text)``.
 
-    ``rounds`` times the corpus is labelled and the models trained again on its texts with exactly one subject; of their
-    n-grams at most ``ngrams`` are kept, the ones with the largest evidence.
+    ``rounds`` times the corpus is labelled and the models trained again on its texts with exactly one subject, by their n-grams that make up a
+    share ``rare`` of all tokens or more: 2 / ``rare`` of them at most, whatever the corpus.
     """
-    rows = [(r["subject"], r["text"]) for r in examples.select("subject", "text").dropna().orderBy("subject", "text").limit(labelled).collect()]
+    usable = examples.select("subject", "text").dropna()
+    n = usable.count()
+    if n > labelled:  # every subject keeps its share
+        usable = usable.filter(F.pmod(F.xxhash64("subject", "text"), F.lit(n)) < labelled)
+    rows = sorted((r["subject"], r["text"]) for r in usable.collect())
     notes = [(r["subject"], r["scope_note"] or "") for r in areas.select("subject", "scope_note").filter("subject is not null").collect()]
     subjects = sorted({s for s, _ in [*rows, *notes]})
     s1, s2, n_s = _count([*rows, *notes])
@@ -164,27 +193,27 @@ def train(texts: DataFrame, examples: DataFrame, areas: DataFrame, *, labelled:
     model = SubjectModel(subjects, word, pair)
     model.margin = _calibrate(model, rows)
     for _ in range(rounds):
-        again = _retrain(texts, model, rows, ngrams)
+        again = _retrain(texts, model, rows, rare)
         # the first models have seen the labelled rows, so the new ones may do a little worse on them
-        if _f1(again, rows, again.margin) < _f1(model, rows, model.margin) - SLACK:
+        if _f1(again, _scores(again, rows), again.margin) < _f1(model, _scores(model, rows), model.margin) - SLACK:
             break
         model = again
     return model
 
 
-def _retrain(texts: DataFrame, model: SubjectModel, rows: list[tuple[str, str]], ngrams: int) -> SubjectModel:
+def _retrain(texts: DataFrame, model: SubjectModel, rows: list[tuple[str, str]], rare: float) -> SubjectModel:
     labelled = cut(texts.mapInPandas(_labeller(model), "text string, subject string"))
     spark = texts.sparkSession
     clause = labelled.select("subject", F.explode(F.split(F.lower("text"), _CLAUSE)).alias("c")).select("subject", F.regexp_extract_all("c", F.lit(f"({_TOKEN})")).alias("w")).filter(F.size("w") > 0)
     grams = clause.select("subject", F.explode(F.concat(F.col("w"), F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)))).alias("g"))
     counts = grams.select("g", F.when(F.col("subject") == "", "none").otherwise(F.concat(F.lit("s:"), "subject")).alias("subject")).groupBy("g").pivot("subject", ["none", *(f"s:{s}" for s in model.subjects)]).count().fillna(0)
-    counts = counts.withColumnsRenamed({f"s:{s}": s for s in model.subjects})
+    counts = cut(counts.withColumnsRenamed({f"s:{s}": s for s in model.subjects}))
     all_of = sum(F.col(f"`{s}`") for s in model.subjects)
     top = F.greatest(*[F.col(f"`{s}`") for s in model.subjects])
     sizes = {r["subject"]: r["n"] for r in clause.groupBy("subject").agg(F.sum(F.size("w")).alias("n")).collect()}
     total = float(sum(sizes.values()) or 1)
-    strong = counts.withColumn("n", all_of + F.col("none")).filter((top >= 3) & (top >= 0.4 * all_of)).withColumn("top", top)
-    got = strong.orderBy(F.desc(top / F.sqrt("n")), "g").limit(ngrams).collect()
+    strong = counts.withColumn("n", all_of + F.col("none")).filter((top >= max(3.0, rare * total)) & (top >= 0.4 * all_of))
+    got = strong.collect()
     s1, s2, b1, b2 = {}, {}, Counter(), Counter()
     for r in got:
         by = {s: r[s] for s in model.subjects}

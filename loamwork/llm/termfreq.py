@@ -77,7 +77,10 @@ def _aggregate(base: str | None, part_rows: int, memory: str):
         import duckdb
 
         # where the shared folder is no file system, the parts lie in the executor's own Spark folder, as its shuffle files do
-        folder = os.path.join(base or os.environ.get("SPARK_LOCAL_DIRS", ".").split(",")[0], f"radix-{uuid.uuid4().hex}")
+        place = base or os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        if not place:
+            raise RuntimeError("no folder to spill to: spark.checkpoint.dir is no file system and SPARK_LOCAL_DIRS is unset")
+        folder = os.path.join(place, f"radix-{uuid.uuid4().hex}")
         spill = _Spill(folder, 0, part_rows)
         try:
             for b in batches:
@@ -122,7 +125,7 @@ def term_frequencies(df: DataFrame, record: str, fields: Sequence[str], *, radix
         at += first[r][1]
     start = F.element_at(F.create_map(*[F.lit(v) for r, (a, _) in first.items() for v in (r, a)]), F.col("radix"))
     count = F.element_at(F.create_map(*[F.lit(v) for r, (_, c) in first.items() for v in (r, c)]), F.col("radix"))
-    placed = terms.withColumn("part", start + F.pmod("g", count.cast("long")).cast("int")).repartition(min(at, 4 * tasks), "part")
+    placed = terms.withColumn("part", start + F.pmod("g", count.cast("long")).cast("int")).repartition(max(-(-sum(sizes.values()) // task_rows), min(at, 4 * tasks)), "part")
     base = shared_dir(spark)
     base = re.sub("^file:/+", "/", base)
     base = None if re.match("[a-z0-9]+:/", base) else base
