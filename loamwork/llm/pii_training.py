@@ -292,7 +292,7 @@ class Maker:
         if x < 0.17:
             v, frames = (self.email(), 1), ["write to |", "email me at |", "reach us at |", "send it to | please", "| bounced again", "contact | for details", "my new address is |", "login: |", "user=|", "account | is locked", "From: |", "to: |, cc: nobody", "invite | to the call", "| has no access", "subscribe | to the list", "forward this to |", "<|>", "sent by |", "(|)", "mail from | was dropped", "if unsure ask |", "you can find me under |", "notify |", "recipient=|;", "the form was filled in by |", "escribe a |", "écrivez à |", "bitte an | senden"]
         elif x < 0.34:
-            v, frames = (self.phone(), 2), ["call |", "phone: |", "call me on | after six", "tel. |", "fax |", "my number is |", "mobile |", "ring | if nobody answers", "text | when you arrive", "| is the number to dial", "reach the desk on |", "contact=|", "phone=|", "Tel: |", "you can reach her at |", "hotline: |", "the callback number was |", "WhatsApp |", "dial | and wait", "left a voicemail from |", "he hung up on |", "T: |", "emergency number |", "missed call from |", "Telefon: |", "teléfono |", "appelez le |", "number on file: |", "printed | on the flyer"]
+            v, frames = (self.phone(), 2), ["call |", "phone: |", "call me on | after six", "tel. |", "fax |", "my number is |", "mobile |", "ring | if nobody answers", "text | when you arrive", "| is the number to dial", "reach the desk on |", "contact=|", "phone=|", "Tel: |", "you can reach her at |", "hotline: |", "the callback number was |", "WhatsApp |", "dial | and wait", "left a voicemail from |", "he hung up on |", "T: |", "emergency number |", "missed call from |", "Telefon: |", "teléfono |", "appelez le |", "number on file: |", "printed | on the flyer", "my number: |", "number: |", "his number is |", "the number | rings out", "her cell |", "| was busy all day", "direct line: |", "or try |"]
         elif x < 0.54:
             k = self.pick(ID_WORDS)
             k = k.upper() if self.chance(0.05) else k.lower() if self.chance(0.15) else k[0].upper() + k[1:] if self.chance(0.2) else k
@@ -300,12 +300,12 @@ class Maker:
             if self.chance(0.45):  # the same sentences about other numbers: only the words beside it tell
                 k = self.other_number()
                 v = (self.id_value() if self.chance(0.7) else self.pick([self.digits(10), f"1{self.digits(9)}", f"{self.digits(4)}-{self.digits(4)}-{self.digits(4)}", self.digits(12)]), 0)
-            frames = [f"{k} |", f"{k}: |", f"{k} = |", f"{k}=|", f"my {k} is |", f"{k} (|)", f"his {k}, |, was copied", f"the {k} | is on file", f"| is her {k}", f"| was given as {k}", f"please check {k} |", f"{self.soup(1, 4)} {k} | {self.soup(1, 4)}", f"{self.soup(1, 4)} {k} |", f"{self.soup(0, 3)} | {self.pick(['as', 'for', 'next to', 'beside', 'under', 'is the', 'in the field', 'instead of the', '-', '(', 'near'])} {k}", f"{self.soup(1, 4)} | {self.soup(0, 2)} {k}", f"{k} of the applicant: |", f"{k} ends up as | here", f"he entered | where the {k} belongs", f"{k} {self.pick(['is', 'was', 'no', 'reads', '#', '-', '->', 'shows'])} |", f"{k} | expired", f"| ({k})", f'"{k}": "|"', f"{k}\t|", f"rejected {k} | as {self.word()}"]
+            frames = [f"{k} |", f"{k}: |", f"{k} = |", f"{k}=|", f"my {k} is |", f"{k} (|)", f"his {k}, |, was copied", f"the {k} | is on file", f"| is her {k}", f"| was given as {k}", f"please check {k} |", f"{self.soup(1, 4)} {k} | {self.soup(1, 4)}", f"{self.soup(1, 4)} {k} |", f"{self.soup(0, 3)} | {self.pick(['as', 'for', 'next to', 'beside', 'under', 'is the', 'in the field', 'instead of the', '-', '(', 'near'])} {k}", f"{self.soup(1, 4)} | {self.soup(0, 2)} {k}", f"{k} of the applicant: |", f"{k} ends up as | here", f"he entered | where the {k} belongs", f"{k} {self.pick(['is', 'was', 'no', 'reads', '#', '-', '->', 'shows'])} |", f"{k} | expired", f"| is what the {k} says", f"a {k} with the number |", f"{k}, |, is wrong", f"{k} {self.word()} |", f"we need the {k}, e.g. |", f"| ({k})", f'"{k}": "|"', f"{k}\t|", f"rejected {k} | as {self.word()}"]
         elif x < 0.69:
             v, frames = (self.address(), 4), ["lives at |", "I live at |", "deliver to |", "our office is at |", "ship to |", "address: |", "address=|", "Address: |", "meet me at | at noon", "the parcel went to |", "moved to | last year", "the house at | is for sale", "come to | tomorrow", "the meeting is in |", "billing address |", "born at |", "the clinic at |", "pick it up from |", "the van stopped outside |", "site visit: |", "located at |", "the tenant of |", "he was seen near |", "| is the place", "send the letter to |", "residence: |", "venue |", "Adresse: |", "dirección: |", "from | to the station"]
         elif x < 0.86:
             frame = not self.chance(0.42)
-            v, frames = (self.person(frame), 5), ["thanks, |", "Dear |,", "Hi |,", "ask | about it", "please ask |", "contact |", "written by |", "signed, |", "regards, |", "| wrote this", "| owns it", "| is on leave", "the report by |", "reviewed by |", "author: |", "owner: |", "name=|", "Name: |", "met with | today", "| will call back", "patient | was admitted", "booked by |", "assigned to |", "according to |", "cc |", "speak to | first", "interview with |", "| and the team", "our manager | agreed", "the claimant, |,", "from |:", "invited | to join", "my colleague | said so", "| joined as an engineer", "hand it to |", "witness: |", "on behalf of |", "for | only", "attn. |", "yours, |", "it was | who found it"]
+            v, frames = (self.person(frame), 5), ["thanks, |", "Dear |,", "Hi |,", "ask | about it", "please ask |", "contact |", "written by |", "signed, |", "regards, |", "| wrote this", "| owns it", "| is on leave", "the report by |", "reviewed by |", "author: |", "owner: |", "name=|", "Name: |", "met with | today", "| will call back", "patient | was admitted", "booked by |", "assigned to |", "according to |", "cc |", "speak to | first", "interview with |", "| and the team", "our manager | agreed", "the claimant, |,", "from |:", "invited | to join", "my colleague | said so", "| joined as an engineer", "hand it to |", "witness: |", "on behalf of |", "for | only", "attn. |", "yours, |", "it was | who found it", "the defendant | left", "prize for |", "| fixed it", "| scored twice", "voicemail from |", "belongs to |", "Lord |", "my neighbour | sang", "I bought it from |", "the owner is |", "a letter came for |", "her name is |"]
         elif x < 0.93:
             p, e = (self.person(), 5), (self.email(), 1)
             a, b, c = self.pick([("", " <", ">"), ("From: ", " <", ">"), ("by ", " (", ")"), ('name: "', '", email: "', '"'), ("", ", ", ""), ("contact ", " at ", ""), ("", " - ", ""), ("Author: ", " <", ">"), ("Co-developed-by: ", " <", ">"), ("| ", " | ", " |"), ('{"name": "', '", "mail": "', '"}'), ("maintainer=", ";", "")])
@@ -384,13 +384,13 @@ def score(p: dict, held: list[tuple[str, np.ndarray]]) -> dict[str, tuple[float,
     return out
 
 
-def main(n: int = 90_000, hidden: int = 32, epochs: int = 6, workers: int = 8, rounds: int = 6, path: str = TOKENIZER) -> None:
-    """Rounds of fresh samples, each from the weights before; what is stored is the mean of the last three rounds' weights."""
+def main(n: int = 90_000, hidden: int = 32, epochs: int = 6, workers: int = 8, rounds: int = 7, path: str = TOKENIZER) -> None:
+    """Rounds of fresh samples, each from the weights before; what is stored is the mean of the last two rounds' weights, three to one."""
     p, ends = None, []
     for seed in range(1, rounds + 1):
         p = M.fit(samples(n, seed, path), hidden, epochs, batch=32, rate=8e-3 if seed == 1 else 5e-3, params=p, workers=workers, log=lambda s: print(s, flush=True))
         ends.append({k: v.copy() for k, v in p.items()})
-    M.save({k: sum(e[k] for e in ends[-3:]) / len(ends[-3:]) for k in p})
+    M.save({k: (ends[-2][k] + 3 * ends[-1][k]) / 4 for k in p} if rounds > 1 else p)
     print(score(M.load(), samples(2_000, 99, path)))
 
 

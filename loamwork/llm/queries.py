@@ -132,6 +132,18 @@ SELECT DISTINCT id_a, id_b FROM x WHERE i >= 0.7 * (n - i)
 """
 
 
+P5_GROUPS_SQL = r"""
+WITH RECURSIVE s AS (SELECT DISTINCT id, list_sort(list_distinct(regexp_extract_all(lower(description || ' ' || coalesce(path, '')), '[a-z0-9]+'))) AS w FROM skill WHERE regexp_matches(description, '\S')),
+     rep AS (SELECT w, min(id) AS rid FROM s WHERE len(w) > 0 GROUP BY w),
+     x AS (SELECT a.rid AS x, b.rid AS y, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM rep a JOIN rep b ON a.rid < b.rid),
+     p AS (SELECT x AS a, y AS b FROM x WHERE i >= 0.7 * (n - i) UNION SELECT rid, id FROM s JOIN rep USING (w) WHERE rid <> id),
+     e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+     r(id, node) AS (SELECT DISTINCT id, id FROM s WHERE len(w) > 0 UNION SELECT r.id, e.b FROM r JOIN e ON r.node = e.a),
+     d AS (SELECT a AS id, count(*) AS n FROM e GROUP BY 1)
+SELECT r.id, min(node) AS "group", coalesce(any_value(d.n), 0) AS links FROM r LEFT JOIN d ON d.id = r.id GROUP BY r.id
+"""
+
+
 def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     skill = table(spark, sf_dir, "skill")
     total = skill.agg(F.count_distinct("id")).first()[0]
@@ -252,6 +264,7 @@ SQL: dict[str, str] = {
     "p4_found": f"{P4_SQL}SELECT s AS session_id, {P4_PAIRS}",
     "p4_chains": f"{P4_SQL}SELECT {P4_PAIRS}",
     "p5_found": P5_SQL,
+    "p5_groups": P5_GROUPS_SQL,
     "p6_found": P6_SQL + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p6_terms": P6_SQL + "SELECT field, term, n_rows, n_records, mark FROM m",
     "p7_found": P7_SQL,
