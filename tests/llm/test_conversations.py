@@ -94,3 +94,14 @@ def test_session_log(spark):
     assert session_reply_pairs(df.limit(0)).count() == 0
     assert [tuple(x) for x in chained_reply_pairs(df).collect()] == [(1, 2)]
     assert chained_reply_pairs(df.limit(0)).count() == 0
+
+
+def test_identifiers_that_share_a_node_get_another_salt(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loamwork.llm import conversations as C
+
+    real = C.conversation_node
+    monkeypatch.setattr(C, "conversation_node", lambda key, salt=0: F.lit(-1).cast("long") if salt == 0 else real(key, salt))
+    got = C.conversation_nodes(spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), "k").collect()
+    assert len(got) == 2 and len({r["node"] for r in got}) == 2

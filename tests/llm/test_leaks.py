@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from loamwork.llm.leaks import bands, find_leaks, words
 
 
@@ -41,3 +43,9 @@ def test_matches_exact_search(spark):
 
 def test_larger_windows_need_more_values():
     assert bands(8, 8) == 1 and bands(8, 20) > bands(8, 12) > 1
+
+
+def test_too_many_hashes_are_an_error_and_not_a_lower_recall():
+    assert bands(8, 20) < 100
+    with pytest.raises(ValueError, match="MinHash values are needed"):
+        bands(1, 5_000)

@@ -41,3 +41,21 @@ def test_held_out_accuracy(spark):
 
 def test_clauses():
     assert S.clauses("One two. Three, then four; five v1.2 six") == [["one", "two"], ["three"], ["four"], ["five", "v1", "2", "six"]]
+
+
+def test_each_subject_has_its_margin():
+    import numpy as np
+
+    m = S.SubjectModel(["a", "b"], {"x": np.array([2.0, 0.0]), "y": np.array([0.0, 2.0])}, {}, np.array([1.0, 3.0]))
+    assert m.about("x. x one. y. y two") == ["a"]
+    m.margin = 1.0
+    assert m.about("x. x one. y. y two") == ["a", "b"] and m.about(None) == []
+
+
+def test_a_sample_of_the_labelled_rows_keeps_every_subject(spark):
+    r = random.Random(9)
+    ex = spark.createDataFrame([(s, text(r, [s])) for s in AREAS for _ in range(40)], "subject string, text string")
+    texts = spark.createDataFrame([(text(r, [s]),) for s in AREAS for _ in range(10)], "text string")
+    a = spark.createDataFrame([(n, " ".join(w)) for n, w in AREAS.items()], "subject string, scope_note string")
+    m = S.train(texts, ex, a, labelled=160, rounds=0)
+    assert sum(s in m.about(t) for s in AREAS for t in [text(r, [s])]) >= 7

@@ -30,3 +30,13 @@ def test_marks_and_empty(spark):
     got = {(x["term"], x["mark"]) for x in mark_terms(term_frequencies(df, "id", ["c"]), 100).collect()}
     assert got == {("all", "common"), ("few", "rare"), ("mid", None)}
     assert term_frequencies(df.limit(0), "id", ["c"]).count() == 0
+
+
+def test_no_folder_to_spill_to_is_an_error(monkeypatch):
+    import pytest
+
+    from loamwork.llm import termfreq
+
+    monkeypatch.delenv("SPARK_LOCAL_DIRS", raising=False)
+    with pytest.raises(RuntimeError, match="no folder"):
+        list(termfreq._aggregate(None, 10, "64MB")(iter([])))
