@@ -793,7 +793,7 @@ def push_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     s = streams.windowed_rates(streams.event_stream(spark, sf_dir, schema), "user_id", F.col("event_type") == "error")
-    out = streams.run_once(s, shared_path(spark, "hourly"), shared_path(spark, "stream"))
+    out = streams.run_updates(s, ["window", "user_id"], shared_path(spark, "hourly"), shared_path(spark, "stream"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "user_id", "hits", "total")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet") -> DataFrame:
@@ -22,8 +23,26 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("events"))
 
 
+def run_updates(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Process everything that is there in update mode and return the last state of every key.
+
+    State is dropped once the watermark has passed it. Each batch writes the keys it changed to a folder of its own below ``path``, again
+    if it is run again, so nothing that is done is written twice; the reader keeps the newest row of a key.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    names = stream.columns
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = stream.sparkSession.read.schema(schema).option("basePath", path).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "batch").alias("_m")).select(*keys, "_m.*").select(*names)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything that is there and return the complete result, which lies as a table below ``path``."""
+    """Process everything that is there and return the complete result, which lies as a table below ``path``; for results of bounded size, as all state is kept."""
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)

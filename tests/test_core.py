@@ -172,3 +172,48 @@ def test_streams(spark, tmp_path):
     assert sorted((r["hits"], r["total"]) for r in got.collect()) == [(0, 1), (1, 2)]
     done = metrics.run_once_to(metrics.sessions(ev(), "user_id", "1 hour", "10 minutes"), str(tmp_path / "o"), str(tmp_path / "c2"))
     assert [r["events"] for r in done.collect()] == [2]
+
+
+def test_matches_see_their_surroundings(spark):
+    docs = spark.createDataFrame([(1, "concat\ncat"), (2, "xset = 1\nset = 2"), (3, None), (4, ""), (5, "cat cat\n\ncat")], "id int, t string")
+    assert [tuple(r) for r in filters.matches_with_lines(docs, "id", "t", r"\bcat\b").orderBy("id", "line").collect()] == [(1, 2, "cat"), (5, 1, "cat"), (5, 1, "cat"), (5, 3, "cat")]
+    assert [tuple(r) for r in filters.matches_with_lines(docs, "id", "t", r"(?m)^set = ").collect()] == [(2, 2, "set = ")]
+    assert [tuple(r) for r in filters.matches_with_lines(docs, "id", "t", r"a(t)", first_only=True).orderBy("id").collect()] == [(1, 1, "at"), (5, 1, "at")]
+    assert filters.matches_with_lines(docs.limit(0), "id", "t", "a").count() == 0
+    found = filters.matches_without(docs, "id", "t", "cat", "con", 3)
+    assert [tuple(r) for r in found.orderBy("id", "line").collect()] == [(1, 2, "cat"), (5, 1, "cat"), (5, 1, "cat"), (5, 3, "cat")]
+    lines = filters.pattern_findings(spark.createDataFrame([(1, "a\n```\na\n```\na"), (2, None), (3, "```\na")], "id int, t string"), "id", "t", {"r": "a"})
+    assert {tuple(r) for r in lines.collect()} == {(1, 1, "r"), (1, 5, "r")}
+
+
+def test_optional_joins_mentions_and_bundles(spark):
+    left, right = spark.createDataFrame([("a",), ("b",), ("c",)], "k string"), spark.createDataFrame([("a", 0.0), ("b", 0.5)], "k string, v double")
+    assert [r["k"] for r in joins.with_optional(left, right, "k", "v", F.col("v") < 0.2).collect()] == ["a"]
+    msgs = spark.createDataFrame([(1, "@x then @y and @x and @z"), (2, None), (3, "@q")], "id int, t string")
+    index = spark.createDataFrame([("z",), ("x",), ("y",), (None,)], "name string")
+    found = lambda most, strict=False: joins.indexed_mentions(msgs, "id", text.mentions(F.col("t")), index, "name", most, strict)
+    assert [tuple(r) for r in found(2).orderBy("place").collect()] == [(1, "x", 1), (1, "y", 2)]
+    with pytest.raises(Exception, match="more than 2"):
+        found(2, strict=True).collect()
+    with pytest.raises(ValueError, match="positive"):
+        found(0)
+    rows = spark.createDataFrame([("law",), ("art",), (None,)], "c string")
+    assert filters.by_bundle(rows, "c", {"minimal": ["law"]}, "complete") == (rows, None)
+    assert filters.by_bundle(rows, "c", {"minimal": ["law"], "art": ["art"]}, "art")[0].count() == 1
+
+
+def test_fences_lists_sections_and_updates(spark, tmp_path):
+    said = lambda c, v, kind="string": spark.createDataFrame([(v,)], f"t {kind}").select(c.alias("o")).first()["o"]
+    assert said(text.hide_amounts(F.col("t")), "pay $1.50 ```code $2.50 and $3.50") == "pay the billed cost ```code the billed cost and the billed cost"
+    assert said(text.hide_amounts(F.col("t")), "```a $2.50``` $3.50") == "```a $2.50``` the billed cost"
+    got = said(text.joined_sections(F.col("t")), "# Title\nintro\n## A\nx\n## B\n\n## a\ny")
+    assert [tuple(x) for x in got] == [("general", "intro"), ("a", "x\ny")]
+    assert said(text.joined_sections(F.col("t")), None) is None
+    assert said(filters.source_faults(F.col("t"), F.col("t")), "official") == ["repo"] and said(filters.source_faults(F.col("t"), F.col("t")), None) == []
+    empty = spark.createDataFrame([], "c string, ok boolean, p string")
+    assert agg.tally(empty, "c", F.col("ok"), F.col("p")).count() == 0
+    assert tuple(agg.rounded_summary(spark.createDataFrame([], "v double"), F.col("v")).first()) == (0, 0.0, None)
+    spark.createDataFrame([("a", "2026-01-01 00:10:00"), ("a", "2026-01-01 00:20:00"), ("b", "2026-01-01 09:00:00")], "k string, t string").select("k", F.to_timestamp("t").alias("ts")).write.parquet(str(tmp_path / "in" / "events.parquet"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in" / "events.parquet"))
+    done = metrics.run_updates(metrics.windowed_rates(stream, "k", F.col("k") == "a"), ["window", "k"], str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted((r["k"], r["hits"], r["total"]) for r in done.collect()) == [("a", 2, 2), ("b", 0, 1)]
