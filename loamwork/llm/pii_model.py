@@ -303,7 +303,7 @@ def fit(samples: list[tuple[str, np.ndarray]], hidden: int = 32, epochs: int = 6
     codes, labels = [encode(t) for t, _ in samples], [y for _, y in samples]
     pipes = []
     if workers > 1:
-        ctx = multiprocessing.get_context("fork")
+        ctx = multiprocessing.get_context("spawn")  # other threads may run, as those of a session
         for _ in range(workers):
             mine, theirs = ctx.Pipe()
             ctx.Process(target=_worker, args=(theirs, codes, labels), daemon=True).start()

@@ -129,5 +129,5 @@ def test_gradients_are_those_of_the_loss():
 def test_training_learns_with_one_and_with_two_processes():
     for workers in (1, 2):
         losses = []
-        M.fit(pii_training.samples(300, 2), hidden=8, epochs=3, batch=16, rate=1e-2, workers=workers, log=lambda s, losses=losses: losses.append(float(s.split()[-1])))
+        M.fit(pii_training.samples(300, 2), hidden=8, epochs=5, batch=8, rate=1e-2, workers=workers, log=lambda s, losses=losses: losses.append(float(s.split()[-1])))
         assert losses[-1] < 0.7 * losses[0]
