@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,34 +50,56 @@ class SubjectModel:
     pair: dict[tuple[str, str], np.ndarray]
     margin: np.ndarray | float = 1.0
 
+    def __post_init__(self):
+        rows = [*self.word.values(), *self.pair.values()]
+        self._rows = np.array(rows) if rows else np.zeros((0, len(self.subjects)))
+        self._word = {w: i for i, w in enumerate(self.word)}
+        self._after: dict[str, dict[str, int]] = defaultdict(dict)
+        for i, (v, w) in enumerate(self.pair, len(self.word)):
+            self._after[v][w] = i
+        self._after = dict(self._after)
+
+    def _units(self, words: list[str]) -> list[int]:
+        """Rows of the clause's pairs and words; those without entry are as likely under every model."""
+        out, i, n = [], 0, len(words)
+        while i < n:
+            w = words[i]
+            after = self._after.get(w)
+            k = after.get(words[i + 1]) if after is not None and i + 1 < n else None
+            i += 1 if k is None else 2
+            if k is None:
+                k = self._word.get(w)
+            if k is not None:
+                out.append(k)
+        return out
+
     def clause(self, words: list[str]) -> np.ndarray:
-        """Summed log ratio of a clause for each subject; words without entry are as likely under every model."""
-        total, i = np.zeros(len(self.subjects)), 0
-        while i < len(words):
-            v = self.pair.get((words[i], words[i + 1])) if i + 1 < len(words) else None
-            step = 1 if v is None else 2
-            if v is None:
-                v = self.word.get(words[i])
-            if v is not None:
-                total += v
-            i += step
-        return total
-
-    def _margins(self) -> np.ndarray:
-        return np.broadcast_to(self.margin, len(self.subjects))
-
-    def mentions(self, text: str) -> Counter:
-        out: Counter = Counter()
-        for words in clauses(text):
-            gain = self.clause(words)
-            best = int(gain.argmax())
-            # cross-entropy gained by the clause as a whole; per word it depends on how long the rest is
-            if gain[best] >= self._margins()[best]:
-                out[self.subjects[best]] += 1
+        """Summed log ratio of a clause for each subject: the cross-entropy it gains as a whole; per word it depends on how long the rest is."""
+        return self._rows[self._units(words)].sum(0)
+
+    def about_all(self, texts: Iterable[str | None]) -> list[list[str]]:
+        """The subjects of each text: those that at least ``MENTIONS`` clauses mention; none for a null one."""
+        units, starts, owner = [], [], []
+        n = 0
+        for n, t in enumerate(texts, 1):
+            for words in clauses(t) if isinstance(t, str) else ():
+                if found := self._units(words):
+                    starts.append(len(units))
+                    owner.append(n - 1)
+                    units += found
+        counts = np.zeros((n, len(self.subjects)), np.int64)
+        if units:
+            gain = np.add.reduceat(self._rows[units], starts, axis=0)
+            best = gain.argmax(1)
+            hit = gain[np.arange(len(best)), best] >= np.broadcast_to(self.margin, len(self.subjects))[best]
+            np.add.at(counts, (np.array(owner)[hit], best[hit]), 1)
+        out: list[list[str]] = [[] for _ in range(n)]
+        for i, k in zip(*np.nonzero(counts >= MENTIONS), strict=True):
+            out[i].append(self.subjects[k])
         return out
 
     def about(self, text: str | None) -> list[str]:
-        return sorted(s for s, n in self.mentions(text or "").items() if n >= MENTIONS)
+        return self.about_all([text])[0]
 
 
 def _ratios(subjects: list[str], s1: dict, s2: dict, n_s: dict, b1: Counter, b2: Counter, total: float) -> tuple[dict, dict]:
@@ -238,7 +260,7 @@ def _retrain(texts: DataFrame, model: SubjectModel, rows: list[tuple[str, str]],
 def _labeller(model: SubjectModel):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            about = [model.about(t) for t in pdf["text"]]
+            about = model.about_all(pdf["text"])
             pdf["subject"] = [a[0] if len(a) == 1 else "" for a in about]
             yield pdf[["text", "subject"]]
 
@@ -253,7 +275,7 @@ def document_subjects(df: DataFrame, ident: str, text: str, model: SubjectModel)
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in parts:
-            yield pd.DataFrame({"id": pdf["id"], "subjects": [m.about(t) if isinstance(t, str) else [] for t in pdf["t"]]})
+            yield pd.DataFrame({"id": pdf["id"], "subjects": m.about_all(pdf["t"])})
 
     out = df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).mapInPandas(run, f"id {kind}, subjects array<string>")
     return out.withColumnRenamed("id", ident)
@@ -288,7 +310,7 @@ def subject_rows(df: DataFrame, ident: str, text: str, category: str, examples:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in parts:
-            pdf["subjects"] = [m.about(t) if isinstance(t, str) else [] for t in pdf["text"]]
+            pdf["subjects"] = m.about_all(pdf["text"])
             yield pdf[["id", "category", "subjects"]]
 
     found = cut(rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, category string, subjects array<string>"))
