@@ -19,9 +19,9 @@ def normalize_text(c: Column) -> Column:
 
 def char_ngrams(c: Column, n: int) -> Column:
     """Distinct character grams of the normalised text; a text shorter than ``n`` is its own only gram, so '' gives ['']."""
-    t = normalize_text(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.array_sort(F.array_distinct(F.when(F.length(t) < n, F.array(t)).otherwise(grams)))
+    # the text is bound once: in the inner function it would be normalised again for every gram
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    return F.transform(F.array(normalize_text(c)), lambda t: F.array_sort(F.array_distinct(F.when(F.length(t) < n, F.array(t)).otherwise(grams(t)))))[0]
 
 
 @F.pandas_udf(T.StringType())

@@ -743,7 +743,7 @@ WITH t AS (SELECT DISTINCT id, trim(regexp_replace(regexp_replace(lower(id), '[^
 SELECT a.id FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.id <> a.id AND (b.s > a.s OR (b.s = a.s AND b.id < a.id)) AND len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.7)
 """)
 def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "skill").select("id").distinct().withColumn("score", F.length("id"))
+    s = table(spark, sf_dir, "skill").select("id").distinct().withColumn("score", F.length(text.normalize_text(F.col("id"))))
     return sets.drop_near_duplicates(s, "id", "id", "score", 0.7).select("id")
 
 

@@ -1,9 +1,11 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from loamwork import queries
 from loamwork.functions import dates, text, versions
 from loamwork.operators import aggregates as agg
 from loamwork.operators import filters, joins, search, sets, windows
@@ -50,6 +52,41 @@ def test_near_duplicates(spark):
     assert {r["id"] for r in sets.drop_near_duplicates(df, "id", "title", "score", 0.6).collect()} == {"R1", "R3", "E1"}
 
 
+def test_near_duplicates_like_all_pairs(spark):
+    """Against all pairs, at thresholds with sizes far apart and with scores that don't follow the length."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abc", k=rnd.randint(1, 4)))
+    rows = [(f"i{k}", rnd.choice(["alpha beta ", "alpha ", "x", ""]) + " ".join(word() for _ in range(rnd.randint(0, 4))), rnd.randint(1, 6)) for k in range(300)]
+    df = spark.createDataFrame([*rows, ("none", None, 1)], "id string, t string, s int")
+    grams = {r["id"]: frozenset(r["g"]) for r in df.filter("t is not null").select("id", text.char_ngrams(F.col("t"), 3).alias("g")).collect()}
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    for limit in (0.3, 0.7, 1.0):
+        kept = {a for a, _, s in rows if not any(alike(a, b) >= limit and (z > s or (z == s and b < a)) for b, _, z in rows if b != a)}
+        assert {r["id"] for r in sets.drop_near_duplicates(df, "id", "t", "s", limit).collect()} == kept | {"none"}
+        near, members = (x.collect() for x in sets.similar_pairs(df, "id", "t", limit))
+        reps = sorted({r["rep"] for r in members})
+        assert {r["id"] for r in members} == set(grams) and all(r["rep"] == min(k for k in grams if grams[k] == grams[r["id"]]) for r in members)
+        assert {(r["a"], r["b"], r["similarity"]) for r in near} == {(a, b, alike(a, b)) for a in reps for b in reps if a < b and alike(a, b) >= limit}
+
+
+def test_near_duplicates_write_little(spark):
+    """Names of few words with a random end: each has hundreds of candidates by its words, none of which may be written."""
+    rnd = random.Random(6)
+    words = [["amber", "cobalt", "indigo"], ["transcript", "scratchpad", "checklist"], ["tracker", "watcher", "builder"]]
+    names = {"-".join([*map(rnd.choice, words), "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5))]) for _ in range(3000)}
+    df = spark.createDataFrame([(n, len(n)) for n in sorted(names)], "id string, s int")
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    sets.drop_near_duplicates(df, "id", "id", "s", 0.7).write.format("noop").mode("overwrite").save()
+    assert written() - before < 10_000_000
+
+
+def test_distinct_names_scores_normalised_names(spark, tmp_path):
+    """The score is the length of the normalised name, as in the SQL."""
+    spark.createDataFrame([("abcdefgh--",), ("abcdefghi",), ("other--name",), ("other-name",), (None,)], "id string").write.parquet(str(tmp_path / "skill.parquet"))
+    assert {r["id"] for r in queries.distinct_names(spark, str(tmp_path)).collect()} == {"abcdefghi", "other--name", None}
+
+
 def test_dates(spark):
     assert str(one(spark, "1768435200", dates.parse_date)) == "2026-01-15 00:00:00" and one(spark, "soon", dates.parse_date) is None and one(spark, None, dates.parse_date) is None
     assert str(one(spark, "2026-01-15T10:00:00+05:00", dates.parse_date)) == "2026-01-15 10:00:00"
